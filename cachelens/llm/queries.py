@@ -4,15 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, quality_rules, token_counts
+from . import decontam, quality_classifier, quality_rules, token_counts, token_files, toxicity
 from .common import shared_path, ship, table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    out = quality_classifier.classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.selectExpr("doc_id", "cl_votes as votes", "cl_posterior as posterior", "cl_score as score", "cl_kept as kept")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ship(spark)
+    folder = shared_path(spark, "token-files")
+    manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_tokens(manifest, folder)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so each call encodes all distinct texts."""
     import public_tokenizers
@@ -26,5 +46,5 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op7_token_counts, op8_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_token_files, op5_toxicity, op7_token_counts, op8_decontamination)}
 SQL: dict[str, str] = {}
