@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, quality_classifier, quality_rules, token_counts, token_files, toxicity
+from . import decontam, mixing, quality_classifier, quality_rules, token_counts, token_files, toxicity, warc
 from .common import shared_path, ship, table
 
 
@@ -28,6 +29,26 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(manifest, folder)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    folder = shared_path(spark, "warc")
+    files = warc.pages_to_warc(table(spark, sf_dir, "pages"), folder)
+    return warc.read_warc(files, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date", "target_uri")
+
+
+def mix_levels() -> list:
+    """Domain (sources by fives), language, source."""
+    number = F.try_to_number(F.regexp_extract("source", "([0-9]+)$", 1), F.lit("999999999")).cast("long")
+    return [F.concat(F.lit("domain"), F.coalesce((F.floor(number / 5)).cast("string"), F.lit("-"))), F.col("lang"), F.col("source")]
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, mix_levels())
+    return mixed.select("doc_id", "lang", "source", F.col("cl_epoch").alias("epoch"), F.col("cl_tokens").alias("n_tokens"), F.col("cl_taken").alias("taken_tokens"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -46,5 +67,5 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_token_files, op5_toxicity, op7_token_counts, op8_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_token_files, op4_warc, op5_toxicity, op6_mixing, op7_token_counts, op8_decontamination)}
 SQL: dict[str, str] = {}
