@@ -108,11 +108,11 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingles(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                 pa.array([sketch(s).astype("<u2").tobytes() if len(s) else None for s in sets], pa.binary()),
             ],
-            ["doc_id", "n_shingles", "cls", "registers"],
+            ["doc_id", "mark", "n_shingles", "cls", "registers"],
         )
 
 
@@ -233,17 +233,41 @@ def links(docs: DataFrame, classes: DataFrame, threshold: int = 85, cut: float =
     return found
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links), kept."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _labelled(docs: DataFrame, threshold: int) -> DataFrame:
+    """doc_id, mark (a hash of the text), n_shingles, component_id of every row."""
+    docs = docs.withColumn("mark", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketched = written(docs.mapInArrow(_classes, f"doc_id {kind}, n_shingles long, cls binary, registers binary"), "sketches")
+    sketched = written(docs.mapInArrow(_classes, f"doc_id {kind}, mark long, n_shingles long, cls binary, registers binary"), "sketches")
     classes = written(sketched.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("registers").alias("registers")), "classes")
     linked = components(links(docs, classes, threshold)).withColumnsRenamed({"node": "cls"})
     of = classes.join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls")).select("cls", "component", "first_id", "copies")
     of = written(of, "class-components")
     named = of.groupBy("component").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("members")).where("members > 1")
     of = of.join(named, "component").select("cls", "component_id")
-    out = sketched.select("doc_id", "n_shingles", "cls").join(of, "cls", "left")
-    out = out.select(F.col("doc_id").alias(id_col), "n_shingles", F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    return sketched.join(of, "cls", "left").select("doc_id", "mark", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links), kept."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _labelled(docs, threshold).select(
+        F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
+def deduplicate(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest id. Rows that repeat an id and its text
+    are one document; documents without words all stay."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = _labelled(rows, threshold)
+    keyed = found.groupBy("doc_id", "mark").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
+    keyed = keyed.withColumn("again", F.col("doc_id").eqNullSafe(F.col("c"))).where("n > 1 or not again").select(F.col("doc_id").alias("of"), F.col("mark").alias("had"), "again")
+    keyed = written(keyed, "dropped")
+    small = keyed.count() <= BROADCAST_IDS
+
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df.hint("shuffle_hash")
+
+    same = F.col(id_col).eqNullSafe(F.col("of")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("had"))
+    again = docs.join(side(keyed.where("again")), same, "left_semi").withColumn("cl_mark", F.xxhash64(text_col)).dropDuplicates([id_col, "cl_mark"]).drop("cl_mark")
+    return docs.join(side(keyed), same, "left_anti").unionByName(again)

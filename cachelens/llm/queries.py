@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, near_dup, quality_classifier, quality_rules, token_counts, token_files, toxicity, warc
+from . import decontam, katz, mixing, near_dup, quality_classifier, quality_rules, token_counts, token_files, toxicity, warc
 from .common import shared_path, ship, table
 
 
@@ -72,5 +72,12 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_token_files, op4_warc, op5_toxicity, op6_mixing, op7_token_counts, op8_decontamination, op9_near_dup)}
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    corpus = katz.Corpus(table(spark, sf_dir, "documents"), ~held)
+    return katz.score(corpus, katz.train(corpus))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_token_files, op4_warc, op5_toxicity, op6_mixing, op7_token_counts, op8_decontamination, op9_near_dup, op10_katz)}
 SQL: dict[str, str] = {}

@@ -2,14 +2,62 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+from cachelens.llm import decontam, mixing, near_dup, quality_classifier, token_files
+from cachelens.llm.common import shared_path, ship, table, written
+from cachelens.llm.queries import mix_levels
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label classifier doesn't reject."""
+    ship(spark)
+    return quality_classifier.classify(docs).where("cl_kept").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    ship(spark)
+    return near_dup.deduplicate(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of the benchmark; documents that are mostly such passages go."""
+    ship(spark)
+    return _measured(decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Nine tenths of all tokens, dealt by damped weights; a document comes once for each epoch that takes it."""
+    ship(spark)
+    return _measured(mixing.prefixed(mixing.mix(docs, mix_levels())))
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of what is left, read back."""
+    ship(spark)
+    folder = shared_path(spark, "token-files")
+    return token_files.read_tokens(token_files.write_tokens(docs, folder, public_tokenizers.path("word_bpe_49k.json")), folder)
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("near-duplicates", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark),
+    ("mixing", mix_sources),
+    ("token files", write_token_files),
+]
+#: No SQL: the learnt classifier, the seeded order and the tokenizer can't be written in it.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
