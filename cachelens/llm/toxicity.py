@@ -128,7 +128,7 @@ def _scores(slots: np.ndarray, w: np.ndarray, b: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             z = np.array([w[_slots(normalised(t), slots)].sum() + b for t in batch.column("text").to_pylist()], float)
-            score = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+            score = np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -700, 700))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return run
