@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -123,21 +124,20 @@ def convert(record: dict, page_id: int | None, winner: int | None, revisit: bool
     return gzip.compress(("\r\n".join(head) + "\r\n\r\n").encode("utf-8", "surrogateescape") + body + b"\r\n\r\n", 1, mtime=0)
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, body) of each record of uncompressed WARC data."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "surrogateescape").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = dict(line.split(": ", 1) for line in lines[1:])
+def parse_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, body) of each record of a stream of uncompressed WARC data, one record in memory at a time."""
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at {line[:40]!r}")
+        headers = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode("utf-8", "surrogateescape").rstrip("\r\n").partition(": ")
+            headers[name] = value
         length = int(headers["Content-Length"])
-        body = data[end + 4 : end + 4 + length]
-        if len(body) < length or data[end + 4 + length : end + 8 + length] != b"\r\n\r\n":
-            raise ValueError(f"WARC record at byte {at} is cut off")
+        body = stream.read(length)
+        if len(body) < length or stream.read(4) != b"\r\n\r\n":
+            raise ValueError(f"WARC record {headers.get('WARC-Record-ID')} is cut off")
         yield headers, body
-        at = end + 8 + length
 
 
 # --- the job
@@ -197,9 +197,9 @@ def _from_warc(folder: str):
         for batch in batches:
             for name in batch.column("name").to_pylist():
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as f:
-                    data = gzip.decompress(f.read())
+                    data = f.read()
                 rows = []
-                for h, body in parse_warc(data):
+                for h, body in parse_warc(gzip.GzipFile(fileobj=io.BytesIO(data))):
                     revisit = h["WARC-Type"] == "revisit"
                     digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
                     if not revisit and payload_digest(body) != digest:
@@ -214,7 +214,7 @@ def _from_warc(folder: str):
 _OUT = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("warc_date", pa.string()), ("target_uri", pa.string())]
 
 
-def pages_to_warc(pages: DataFrame, folder: str, version: int = 1, least: int = 0, file_bytes: int = 64 << 20, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+def pages_to_warc(pages: DataFrame, folder: str, version: int = 1, least: int = 0, file_bytes: int = 16 << 20, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Frames each page as an ARC record, converts it, and writes ``.warc.gz`` files into ``folder``; gives their names."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     fs, root = filesystem(folder)
