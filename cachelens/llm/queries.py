@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontam, katz, mixing, near_dup, quality_classifier, quality_rules, token_counts, token_files, toxicity, warc
 from .common import shared_path, ship, table
+from .oracles import SQL  # noqa: F401  the entry reads it here
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     folder = shared_path(spark, "warc")
     files = warc.pages_to_warc(table(spark, sf_dir, "pages"), folder)
-    return warc.read_warc(files, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date", "target_uri")
+    return warc.read_warc(files, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def mix_levels() -> list:
@@ -80,4 +81,3 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_token_files, op4_warc, op5_toxicity, op6_mixing, op7_token_counts, op8_decontamination, op9_near_dup, op10_katz)}
-SQL: dict[str, str] = {}
