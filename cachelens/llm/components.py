@@ -13,23 +13,25 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
     Each round links neighbours to the smallest node near them: larger neighbours first, then smaller ones. Edges stay
     slim and distributed, each round is written to the shared folder, and paths shrink to stars in some log n rounds.
+    A node's larger neighbours may be a third of the table, so they are joined, which can be split; its smaller ones
+    are few, as each came from one edge of the node, and are gathered.
     """
     e = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large, "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        after = written(small, "edges")
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        smaller = large.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("s"))
+        rest = F.explode(F.concat(F.array("a"), F.expr("slice(s, 2, size(s))"))).alias("a")
+        after = written(smaller.select(rest, F.get("s", F.lit(0)).alias("b")), "edges")
         state = after.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("a", "b"), 20))).first()
-        forget(large, e)
+        forget(e)
         e = after
         if state == before:
             break
         before = state
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    e = e.distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
