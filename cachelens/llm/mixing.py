@@ -62,10 +62,18 @@ def leaf_budgets(available: dict[tuple, int], weights: dict[tuple, float], budge
     return {leaf: int(given[leaf] + 1e-6) for leaf in available}
 
 
+RESERVED = ("cl_tokens", "cl_hash", "cl_epoch", "cl_taken", "cl_id", "cl_of", "cl_took")
+
+
+def _aside(docs: DataFrame) -> dict[str, str]:
+    """Other names for columns that are called as this operator's own; ``prefixed`` gives the old ones back."""
+    return {c: f"_own_{c}" for c in docs.columns if c.lower() in RESERVED or c.lower().startswith("cl_level")}
+
+
 def mix(docs: DataFrame, levels: list[Column], weights: dict[tuple, float] | float = 0.7, budget: int | float = 0.9, epochs: int = 2, seed: int = 20_240_701, id_col: str = "doc_id", text_col: str = "text", bucket_docs: int = 4096) -> DataFrame:
     """``docs`` once per epoch in which it is taken, with cl_epoch (from 0), cl_tokens (of the text) and cl_taken.
 
-    ``budget``: tokens, or a share (float) of all tokens. ``weights``: by path, or an exponent that damps each node's
+    Own columns of the names in RESERVED are put aside as ``_own_`` and their name. ``budget``: tokens, or a share (float) of all tokens. ``weights``: by path, or an exponent that damps each node's
     own tokens. The tree has one row per leaf on the driver, and so grows with the sources and not with documents.
 
     A leaf may hold a third of all rows, so its order is never sorted in one task: hash buckets of some
@@ -73,6 +81,7 @@ def mix(docs: DataFrame, levels: list[Column], weights: dict[tuple, float] | flo
     the budget cuts are ordered inside.
     """
     spark = docs.sparkSession
+    docs = docs.withColumnsRenamed(_aside(docs))
     names = [f"cl_level{k}" for k in range(len(levels))]
     base = docs.select("*", *(c.cast("string").alias(n) for c, n in zip(levels, names)))
     base = base.withColumns({"cl_tokens": token_count(F.col(text_col)), "cl_hash": F.xxhash64(text_col)})
@@ -112,9 +121,9 @@ def mix(docs: DataFrame, levels: list[Column], weights: dict[tuple, float] | flo
     start = F.col("before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))
     partly = dealt.join(F.broadcast(cut), at).withColumn("taken", F.least("tokens", F.col("allowed") - start)).where("taken > 0")
     chosen = whole.unionByName(partly.select("id", "cl_hash", "cl_epoch", "taken"))
-    chosen = chosen.select(F.col("id").alias("cl_id"), F.col("cl_hash").alias("cl_of"), "cl_epoch", "taken")
+    chosen = chosen.select(F.col("id").alias("cl_id"), F.col("cl_hash").alias("cl_of"), "cl_epoch", F.col("taken").alias("cl_took"))
     out = base.drop(*names).join(chosen.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("cl_id")) & (F.col("cl_hash") == F.col("cl_of")))
-    return out.withColumn("cl_taken", F.least("cl_tokens", "taken")).drop("cl_id", "cl_of", "cl_hash", "taken")
+    return out.withColumn("cl_taken", F.least("cl_tokens", "cl_took")).drop("cl_id", "cl_of", "cl_hash", "cl_took")
 
 
 def _cut(text_at: str):
@@ -136,4 +145,5 @@ def _cut(text_at: str):
 def prefixed(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     """The mixed documents with each text cut to the words taken; a text taken whole stays as it is."""
     cut = mixed.where("cl_taken < cl_tokens").mapInArrow(_cut(text_col), mixed.schema)
-    return mixed.where("cl_taken >= cl_tokens").unionByName(cut).drop("cl_epoch", "cl_tokens", "cl_taken")
+    out = mixed.where("cl_taken >= cl_tokens").unionByName(cut).drop("cl_epoch", "cl_tokens", "cl_taken")
+    return out.withColumnsRenamed({c: c.removeprefix("_own_") for c in out.columns if c.startswith("_own_cl_")})

@@ -261,13 +261,13 @@ def deduplicate(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = _labelled(rows, threshold)
     keyed = found.groupBy("doc_id", "mark").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
-    keyed = keyed.withColumn("again", F.col("doc_id").eqNullSafe(F.col("c"))).where("n > 1 or not again").select(F.col("doc_id").alias("of"), F.col("mark").alias("had"), "again")
+    keyed = keyed.withColumn("again", F.col("doc_id").eqNullSafe(F.col("c"))).where("n > 1 or not again").select(F.col("doc_id").alias("__cl_of"), F.col("mark").alias("__cl_had"), F.col("again").alias("__cl_again"))
     keyed = written(keyed, "dropped")
     small = keyed.count() <= BROADCAST_IDS
 
     def side(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if small else df.hint("shuffle_hash")
 
-    same = F.col(id_col).eqNullSafe(F.col("of")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("had"))
-    again = docs.join(side(keyed.where("again")), same, "left_semi").withColumn("cl_mark", F.xxhash64(text_col)).dropDuplicates([id_col, "cl_mark"]).drop("cl_mark")
+    same = F.col(id_col).eqNullSafe(F.col("__cl_of")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__cl_had"))
+    again = docs.join(side(keyed.where("__cl_again")), same, "left_semi").withColumn("__cl_mark", F.xxhash64(text_col)).dropDuplicates([id_col, "__cl_mark"]).drop("__cl_mark")
     return docs.join(side(keyed), same, "left_anti").unionByName(again)

@@ -171,8 +171,24 @@ def _score(model: dict, w: np.ndarray, b: float, names: list[str], text_at: str)
 ADDED = ["cl_votes", "cl_posterior", "cl_score", "cl_kept"]
 
 
-def classify(docs: DataFrame, sample_rows: int = 4000, text_col: str = "text") -> DataFrame:
-    """``docs`` with cl_votes, cl_posterior, cl_score and cl_kept.
+def _keep(model: dict, w: np.ndarray, b: float, text_at: str):
+    w = w.astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [(t, measures(t)) for t in batch.column(text_at).to_pylist()]
+            yield batch.filter(pa.array([v is None or float(features(t, v) @ w + b) >= 0 for t, v in values], pa.bool_()))
+
+    return run
+
+
+def keep(docs: DataFrame, sample_rows: int = 4000, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the classifier doesn't reject, with all their columns as they are."""
+    return docs.mapInArrow(_keep(*fit(docs, sample_rows, text_col), text_col), docs.schema)
+
+
+def fit(docs: DataFrame, sample_rows: int = 4000, text_col: str = "text") -> tuple[dict, np.ndarray, float]:
+    """The labellers' model and the scorer's weights.
 
     Patterns are counted over all documents (at most 3 ** labellers rows reach the driver). The scorer is trained on
     about ``sample_rows`` documents, drawn by a hash of the text: 4 KB each on the driver.
@@ -184,7 +200,12 @@ def classify(docs: DataFrame, sample_rows: int = 4000, text_col: str = "text") -
     drawn = texts.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000)) < int(min(1.0, sample_rows / total) * 1_000_000))
     sample = drawn.mapInArrow(_sample, "votes string, x binary").limit(2 * sample_rows).collect()
     x = np.array([np.frombuffer(r.x, np.float16) for r in sample], np.float32).reshape(len(sample), 1 << BITS)
-    w, b = fit_scorer(x, posterior_of(model, [r.votes for r in sample]))
+    return model, *fit_scorer(x, posterior_of(model, [r.votes for r in sample]))
+
+
+def classify(docs: DataFrame, sample_rows: int = 4000, text_col: str = "text") -> DataFrame:
+    """``docs`` with cl_votes, cl_posterior, cl_score and cl_kept, in place of own columns of these names."""
+    model, w, b = fit(docs, sample_rows, text_col)
     names = [c for c in docs.columns if c not in ADDED]
     kept = docs.select(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", cl_votes string, cl_posterior double, cl_score double, cl_kept boolean"

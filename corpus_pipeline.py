@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier doesn't reject."""
     ship(spark)
-    return quality_classifier.classify(docs).where("cl_kept").select(*docs.columns)
+    return quality_classifier.keep(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, cl_score double, votes string, row long, part int, grp string"
+#: Names that operators use themselves.
+CLASHES = ["cl_kept", "cl_tokens", "cl_took", "cl_level0", "of", "had", "taken", "again", "mark", "cls", "key", "hit", "size", "content", "digest", "id", "tokens", "toxic", "held_out", "component"]
 
 
 def rows() -> list[tuple]:
@@ -25,3 +27,9 @@ def rows() -> list[tuple]:
 
 def documents(spark):
     return spark.createDataFrame(rows(), SCHEMA)
+
+
+def clashing(spark):
+    from pyspark.sql import functions as F
+
+    return documents(spark).withColumns({c: F.lit(f"own {c}") for c in CLASHES})

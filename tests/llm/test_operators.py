@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cachelens.llm import decontam, katz, mixing, near_dup, quality_classifier, quality_rules, token_counts, token_files, toxicity, warc
 from cachelens.llm.common import shared_path, ship
 
-from .corpus import SCHEMA, documents, rows
+from .corpus import CLASHES, SCHEMA, clashing, documents, rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -437,3 +437,22 @@ def test_katz(docs, empty, size):
 def test_katz_without_training(docs):
     corpus = katz.Corpus(docs, F.lit(False))
     assert all(r.score == 0 and r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in katz.score(corpus, katz.train(corpus)).collect())
+
+
+# --- all
+
+
+def test_own_columns_stay(spark, docs):
+    own = clashing(spark)
+    assert quality_classifier.keep(own).columns == own.columns
+    item = spark.createDataFrame([(1, rows()[15][1])], "item_id long, text string")
+    mixed = mixing.prefixed(mixing.mix(own, [F.col("lang"), F.col("source")]))
+    assert sorted(mixed.columns) == sorted(own.columns)
+    for df in (quality_classifier.keep(own), near_dup.deduplicate(own), decontam.decontaminate(own, item), mixed):
+        assert df.count() > 0
+        assert df.agg(*(F.count_if(F.col(c) != f"own {c}").alias(c) for c in CLASHES)).first() == tuple([0] * len(CLASHES))
+    labels = spark.createDataFrame([(k, k % 2, "x") for k in range(40)], "doc_id long, toxic int, text string")
+    assert toxicity.score_toxicity(own, labels).count() == len(rows())
+    assert quality_rules.quality_rules(own).count() == near_dup.near_duplicates(own).count() == len(rows())
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    assert token_counts.count_tokens(own, shared_path(spark, "c"), path).count() == len(rows())
