@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import filesystem, forget, shared_path, written
 
 #: Counts up to K are discounted. UTF-8 bytes of text in a block; tokens and distinct pairs of a partition, about.
-K, BLOCK_BYTES, PARTITION_TOKENS = 5, 64 << 20, 2_000_000
+K, BLOCK_BYTES, PARTITION_TOKENS = 5, 16 << 20, 1_000_000
 #: Fixed hashes of the end token and of the start, which is only ever a history.
 END, START = 0x656E64, 0x7374617274
 
@@ -153,11 +153,11 @@ class Block:
         ends = np.cumsum(self.sizes) - 1
         self.starts = ends - self.sizes + 1
         total = int(self.sizes.sum())
-        self.word = np.full(total, v, np.int64)
+        self.word = np.full(total, v, np.int32)
         inner = np.ones(total, bool)
         inner[ends] = False
         self.word[inner] = local
-        self.before = np.empty(total, np.int64)
+        self.before = np.empty(total, np.int32)
         self.before[1:] = self.word[:-1]
         self.before[self.starts] = v + 1
         self.hashes = np.append(hashes, np.array([END, START], np.uint64))
@@ -170,10 +170,12 @@ class Block:
 
     def pairs(self, only_train: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pairs (history * n + word, n over all local numbers), each token's pair, and training counts."""
-        code = self.before * (self.n_words + 1) + self.word
-        if only_train:
-            code = code[self.train]
+        before, word = (self.before[self.train], self.word[self.train]) if only_train else (self.before, self.word)
+        code = before.astype(np.int64)
+        code *= self.n_words + 1
+        code += word
         distinct, at = np.unique(code, return_inverse=True)
+        at = at.astype(np.int32)
         return distinct, at, np.bincount(at if only_train else at[self.train], minlength=len(distinct))
 
 
