@@ -50,7 +50,7 @@ class _Hashes(dict):
     """Word hashes, remembered in the worker."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -122,6 +122,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["cls", "shingles"])
 
 
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Values that two sorted sets have in common."""
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    return int((a[at] == b).sum())
+
+
 def _link(threshold: int, cut: float):
     """Links between different components of each run of equal keys; rows come sorted by key."""
 
@@ -141,12 +147,9 @@ def _link(threshold: int, cut: float):
         mine = [r["component"] for r in rows]
         reg = np.array([np.frombuffer(r["registers"], "<u2") for r in rows])
         sizes = np.array([len(r["shingles"]) // 8 for r in rows], float)
-        full: dict[int, frozenset] = {}
 
-        def whole(k: int) -> frozenset:
-            if k not in full:
-                full[k] = frozenset(np.frombuffer(rows[k]["shingles"], np.uint64).tolist())
-            return full[k]
+        def whole(k: int) -> np.ndarray:
+            return np.frombuffer(rows[k]["shingles"], np.uint64)
 
         links = []
         asked = np.array([r["query"] for r in rows])
@@ -160,8 +163,8 @@ def _link(threshold: int, cut: float):
                 j = int(others[k])
                 if find(mine[i]) == find(mine[j]):
                     continue
-                both = len(whole(i) & whole(j))
-                if 100 * both >= threshold * (len(whole(i)) + len(whole(j)) - both):
+                both = _shared(whole(i), whole(j))
+                if 100 * both >= threshold * (sizes[i] + sizes[j] - both):
                     root[find(mine[i])] = find(mine[j])
                     links.append((rows[i]["cls"], rows[j]["cls"]))
         return links

@@ -33,7 +33,7 @@ from .common import filesystem
 
 MAGIC, END = b"DACT1", 1
 #: Chunks remembered by a worker before its memory is emptied.
-MEMORY = 1_500_000
+MEMORY = 400_000
 _encoders: dict[str, "Encoder"] = {}
 
 # --- the codec
