@@ -22,6 +22,18 @@ _own_dir: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
+#: What operators remember in a Python worker, which serves one stage after another: the memory of the last one only.
+_memory: dict[str, object] = {}
+
+
+def remembered(owner: str, make):
+    """This worker's memory of ``owner``; another operator's is dropped."""
+    if owner not in _memory:
+        _memory.clear()
+        _memory[owner] = make()
+    return _memory[owner]
+
+
 def shared_base(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

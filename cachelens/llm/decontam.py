@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import remembered
+
 #: A-Z to a-z; every other ASCII character that is not a letter or digit becomes a space; UTF-8 bytes over 127 stay.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 #: Words of one automaton. It is built in each worker from the items' words, some 200 bytes a word.
 BLOCK_WORDS = 200_000
 
-_built: dict[tuple, "Automaton"] = {}
-
 
 def words(text: str | None) -> list[bytes]:
     return text.encode().translate(WORDS).split() if text else []
@@ -173,10 +173,7 @@ def _matcher(items: list[tuple[str, str]], window: int, text_at: str):
     key = (window, hashlib.sha256(repr(items).encode()).hexdigest())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _built:
-            _built.clear()
-            _built[key] = Automaton([(i, words(t)) for i, t in items], window)
-        automaton = _built[key]
+        automaton = remembered(f"automaton {key}", lambda: Automaton([(i, words(t)) for i, t in items], window))
         for batch in batches:
             names = batch.schema.names
             before = zip(batch.column("__cachelens_span").to_pylist(), batch.column("__cachelens_item").to_pylist())
@@ -210,13 +207,18 @@ def _blocks(items: DataFrame, block_words: int) -> list[list[tuple[str, str]]]:
     return out or [[]]
 
 
-def match_spans(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with ``__cachelens_span`` (flat list of hit word ranges, from and to) and ``__cachelens_item`` (ids of items with occurring windows)."""
+def match_spans(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, then=None, schema=None) -> DataFrame:
+    """``docs`` with ``__cachelens_span`` (flat list of hit word ranges, from and to) and ``__cachelens_item`` (ids of
+    items with occurring windows). ``then`` works on the result's batches in the same pass as the last block and gives
+    ``schema``, so a task needs one Python worker for each block and no more."""
     chosen = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null").orderBy("i", "t")
     out = docs.withColumns({"__cachelens_span": F.array().cast("array<int>"), "__cachelens_item": F.array().cast("array<string>")})
-    for block in _blocks(chosen, block_words):
-        out = out.mapInArrow(_matcher(block, window, text_col), out.schema)
-    return out
+    *before, last = (_matcher(block, window, text_col) for block in _blocks(chosen, block_words))
+    for matcher in before:
+        out = out.mapInArrow(matcher, out.schema)
+    if then is None:
+        return out.mapInArrow(last, out.schema)
+    return out.mapInArrow(lambda batches: then(last(batches)), schema)
 
 
 def _strip(limit_words: int, limit_share: float, text_at: str):
@@ -254,8 +256,7 @@ def _strip(limit_words: int, limit_share: float, text_at: str):
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, limit_words: int = 200, limit_share: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` without leaked spans: hit words are cut out; a document with over ``limit_words`` of them, or over
     ``limit_share`` of its words, goes. Other columns pass unchanged."""
-    matched = match_spans(docs, items, window, text_col)
-    return matched.mapInArrow(_strip(limit_words, limit_share, text_col), docs.schema)
+    return match_spans(docs, items, window, text_col, then=_strip(limit_words, limit_share, text_col), schema=docs.schema)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,5 +273,5 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    matched = match_spans(docs.select("doc_id", "text"), items, window)
-    return matched.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return match_spans(docs.select("doc_id", "text"), items, window, then=_digest, schema=schema)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import forget, remembered, written
 from .components import components
 
 WIDTH = 5
@@ -56,8 +56,6 @@ class _Hashes(dict):
         return h
 
 
-_hashes = _Hashes()
-
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles."""
@@ -65,7 +63,7 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(remembered("word hashes", _Hashes).__getitem__, words), np.uint64, n)
     k = min(width, n)
     code = h[: n - k + 1].copy()
     for j in range(1, k):

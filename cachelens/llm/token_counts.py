@@ -16,9 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import exists
+from .common import exists, remembered
 
-_counters: dict[str, "PieceCounter"] = {}
 #: Entries of a worker's chunk memory before it is emptied.
 MEMORY = 1_000_000
 
@@ -88,9 +87,7 @@ class PieceCounter:
 
 
 def counter(path: str) -> PieceCounter:
-    if path not in _counters:
-        _counters[path] = PieceCounter(path)
-    return _counters[path]
+    return remembered(f"counter {path}", lambda: PieceCounter(path))
 
 
 def _encode(path: str):

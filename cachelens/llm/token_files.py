@@ -29,12 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem
+from .common import filesystem, remembered
 
 MAGIC, END = b"DACT1", 1
 #: Chunks remembered by a worker before its memory is emptied.
 MEMORY = 400_000
-_encoders: dict[str, "Encoder"] = {}
 
 # --- the codec
 
@@ -185,9 +184,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return remembered(f"encoder {path}", lambda: Encoder(path))
 
 
 # --- the job
