@@ -1,6 +1,6 @@
 """Near-duplicates with SetSketch registers.
 
-A document's set is its distinct 5-word shingles. A sketch holds REGISTERS maxima of ``floor(1 - log_b x)``, x being
+A document's set is its distinct 5-word shingles. A sketch holds ROWS registers a band, maxima of ``floor(1 - log_b x)``, x being
 exponentially distributed for each (shingle, register): minima on an exponential scale, cut to 16 bits, which merge by
 maximum and agree in a register with about the probability of the Jaccard similarity. Documents of equal sets are one
 class. Classes that agree in all registers of a band are candidates; candidates that are chained by bands form a
@@ -11,8 +11,9 @@ A group is worked on where all its classes lie, in blocks of BLOCK classes. Larg
 with the same few centres, and what is not joined to the group's largest component by then is compared with every
 block of the group, whole. Pairs never leave a task; only links between different components do.
 
-At a similarity of 0.85, a pair shares none of the 24 bands of 5 with probability 8e-7, and its estimate falls under the
-cut with about 2e-6; sets are never sampled and nothing is capped.
+The number of bands follows the threshold, so that a pair just at it shares no band with probability 1e-6 at most: 24
+bands of 5 at 0.85 (8e-7), 35 at 0.80 (9e-7). The cut lies 0.15 under the threshold; such a pair's estimate falls under
+it with about 2e-6. Sets are never sampled and nothing is capped.
 
 Null, empty and word-less texts have empty sets and are linked with nothing. With fewer than five words the whole
 sequence is one shingle. Rows of equal id are separate documents; a null id never names a component unless no other
@@ -22,6 +23,7 @@ member has an id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ from .common import forget, remembered, written
 from .components import components
 
 WIDTH = 5
+#: Bands at the least, and the registers they have.
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Base and rate of the sketch. With b near 1, registers tell as much as plain minima.
@@ -40,12 +43,30 @@ BASE, RATE = 1.001, 20.0
 BLOCK = 2000
 #: Ids of candidates that are broadcast at most (16 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 500_000
-_random = np.random.default_rng(20_240_701)
-_MULTIPLY = _random.integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _random.integers(0, 1 << 63, REGISTERS, np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
+def bands_for(threshold: int) -> int:
+    """Bands by which all but a millionth of the pairs at ``threshold`` become candidates."""
+    none = 1 - (threshold / 100) ** ROWS  # a band is not shared
+    return max(BANDS, int(np.ceil(np.log(1e-6) / np.log(none)))) if none > 0 else BANDS
+
+
+def cut_for(threshold: int) -> float:
+    return threshold / 100 - 0.15
+
+
+@cache
+def _hashing(registers: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and summands; those of fewer registers come first."""
+    random, drawn = np.random.default_rng(20_240_701), []
+    for _ in range(0, registers, REGISTERS):
+        multiply = random.integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
+        drawn.append((multiply, random.integers(0, 1 << 63, REGISTERS, np.uint64)))
+    multiply, add = map(np.concatenate, zip(*drawn))
+    return multiply[:registers], add[:registers]
+
+
 class _Hashes(dict):
     """Word hashes, remembered in the worker."""
 
@@ -76,16 +97,17 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(code)
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """REGISTERS maxima for a set of hashes."""
-    least = np.full(REGISTERS, np.uint64(0xFFFFFFFFFFFFFFFF))
+def sketch(s: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
+    """``registers`` maxima for a set of hashes."""
+    multiply, add = _hashing(registers)
+    least = np.full(registers, np.uint64(0xFFFFFFFFFFFFFFFF))
     for at in range(0, len(s), 2048):
-        np.minimum(least, (s[at : at + 2048, None] * _MULTIPLY + _ADD).min(0), out=least)
+        np.minimum(least, (s[at : at + 2048, None] * multiply + add).min(0), out=least)
     x = -np.log1p(-(least.astype(np.float64) + 1) / 2.0**64 * (1 - 1e-16)) / RATE
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, 65535).astype(np.uint16)
 
 
-def may_reach(equal: np.ndarray, more: np.ndarray, n: float, ns: np.ndarray, cut: float) -> np.ndarray:
+def may_reach(equal: np.ndarray, more: np.ndarray, n: float, ns: np.ndarray, cut: float, registers: int = REGISTERS) -> np.ndarray:
     """Whether the likeliest similarity is at least ``cut``, from how many registers of one sketch equal and exceed
     those of others, and the set sizes. The likelihood has one maximum, so its slope at ``cut`` decides."""
     u = n / (n + ns)
@@ -97,21 +119,24 @@ def may_reach(equal: np.ndarray, more: np.ndarray, n: float, ns: np.ndarray, cut
     g = lambda y: c / (1 - y * c) / np.log(BASE)
     a, b = np.maximum(u - v * j, 1e-12), np.maximum(v - u * j, 1e-12)
     same = np.maximum(1 - f(a) - f(b), 1e-12)
-    slope = -more * v * g(a) / f(a) - (REGISTERS - equal - more) * u * g(b) / f(b) + equal * (v * g(a) + u * g(b)) / same
+    slope = -more * v * g(a) / f(a) - (registers - equal - more) * u * g(b) / f(b) + equal * (v * g(a) + u * g(b)) / same
     return possible & (slope >= 0)
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingles(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                pa.array([sketch(s).astype("<u2").tobytes() if len(s) else None for s in sets], pa.binary()),
-            ],
-            ["doc_id", "mark", "n_shingles", "cls", "registers"],
-        )
+def _classes(registers: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([sketch(s, registers).astype("<u2").tobytes() if len(s) else None for s in sets], pa.binary()),
+                ],
+                ["doc_id", "mark", "n_shingles", "cls", "registers"],
+            )
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +181,7 @@ def _link(threshold: int, cut: float):
             if not len(others):
                 continue
             equal = (reg[others] == reg[i]).sum(1)
-            near = may_reach(equal, (reg[others] < reg[i]).sum(1), sizes[i], sizes[others], cut)
+            near = may_reach(equal, (reg[others] < reg[i]).sum(1), sizes[i], sizes[others], cut, reg.shape[1])
             for k in sorted(np.flatnonzero(near).tolist(), key=lambda k: -equal[k]):
                 j = int(others[k])
                 if find(mine[i]) == find(mine[j]):
@@ -196,7 +221,7 @@ def _linked(rows: DataFrame, threshold: int, cut: float) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, threshold: int = 85, cut: float = 0.70, block: int = BLOCK) -> DataFrame:
     """Confirmed links (a, b) that join all classes with 100 * intersection >= threshold * union."""
-    keys = F.array(*(F.xxhash64(F.lit(k), F.substring("registers", 1 + 2 * ROWS * k, 2 * ROWS)) for k in range(BANDS)))
+    keys = F.array(*(F.xxhash64(F.lit(k), F.substring("registers", 1 + 2 * ROWS * k, 2 * ROWS)) for k in range(bands_for(threshold))))
     bands = classes.select("cls", F.explode(keys).alias("key"))
     centres = bands.groupBy("key").agg(F.min("cls").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     stars = bands.join(centres, "key").where("cls <> centre").select(F.col("cls").alias("a"), F.col("centre").alias("b"))
@@ -238,9 +263,9 @@ def _labelled(docs: DataFrame, threshold: int) -> DataFrame:
     """doc_id, mark (a hash of the text), n_shingles, component_id of every row."""
     docs = docs.withColumn("mark", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketched = written(docs.mapInArrow(_classes, f"doc_id {kind}, mark long, n_shingles long, cls binary, registers binary"), "sketches")
+    sketched = written(docs.mapInArrow(_classes(ROWS * bands_for(threshold)), f"doc_id {kind}, mark long, n_shingles long, cls binary, registers binary"), "sketches")
     classes = written(sketched.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("registers").alias("registers")), "classes")
-    linked = components(links(docs, classes, threshold)).withColumnsRenamed({"node": "cls"})
+    linked = components(links(docs, classes, threshold, cut_for(threshold))).withColumnsRenamed({"node": "cls"})
     of = classes.join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls")).select("cls", "component", "first_id", "copies")
     of = written(of, "class-components")
     named = of.groupBy("component").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("members")).where("members > 1")

@@ -70,7 +70,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
 
 
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

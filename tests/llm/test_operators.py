@@ -358,6 +358,28 @@ def test_deduplicate(docs, empty):
     assert near_dup.deduplicate(empty).count() == 0
 
 
+def test_pipeline_drops_near_copies_from_80(spark):
+    import corpus_pipeline
+
+    made = []
+    for k in range(40):  # each with copies at 0.917, 0.841, 0.771 and 0.705
+        base = [f"t{k}w{j}" for j in range(120)]
+        made.append((10 * k, " ".join(base)))
+        for n in (1, 2, 3, 4)[k % 4 :]:
+            made.append((10 * k + n, " ".join(f"e{n}" if j in range(10, 10 + 25 * n, 25) else w for j, w in enumerate(base))))
+    kept = {at: {x[0] for x in brute_components(made, at) if x[3]} for at in (80, 85)}
+    assert len(kept[85]) >= len(kept[80]) + 10
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(made, "doc_id long, text string"), "")
+    assert {r.doc_id for r in got.collect()} == kept[80]
+
+
+def test_bands_follow_the_threshold():
+    assert near_dup.bands_for(85) == near_dup.BANDS == near_dup.bands_for(100)
+    assert all((1 - (t / 100) ** near_dup.ROWS) ** near_dup.bands_for(t) <= 1e-6 for t in (60, 70, 80, 85, 95))
+    s = np.arange(1, 900, dtype=np.uint64)
+    assert (near_dup.sketch(s, 175)[: near_dup.REGISTERS] == near_dup.sketch(s)).all()
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     x, y = rng.integers(0, 2**63, 900).astype(np.uint64), rng.integers(0, 2**63, 100).astype(np.uint64)
