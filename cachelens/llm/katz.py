@@ -1,22 +1,26 @@
-"""Katz backoff language model of words, order two, over corpora that fit no single machine.
+"""Katz backoff language model of words, of any order, over corpora that fit no single machine.
 
-Training counts words and word pairs; counts up to K are discounted by Good-Turing, and the mass that discounts free
-after a word goes to unseen successors in proportion to their unigram probabilities. Backoff weights are normalised
-exactly: after every word, the probabilities of all known words and of the unknown word sum to one.
+Training counts n-grams up to the order; counts up to K are discounted by Good-Turing, and the mass that discounts free
+after a history goes to unseen successors in proportion to their probabilities after the history without its first
+word, and so on down to single words. Backoff weights are normalised exactly: after every history, the probabilities of
+all known words and of the unknown word sum to one.
 
-    P(w | v) = d(c(v, w)) c(v, w) / c(v)   if the pair was seen
-             = alpha(v) P(w)               if only v was seen
-             = P(w)                        else;      P(w) = d(c(w)) c(w) / N, and for unknown words what is left
+    P(w | h) = d(c(h, w)) c(h, w) / c(h)   if the n-gram was seen; h' is h without its first word
+             = alpha(h) P(w | h')          if only h was seen
+             = P(w | h')                   else;      P(w) = d(c(w)) c(w) / N, and for unknown words what is left
 
-Where no count of a level (or of one v) is small enough to be discounted, its counts are scaled by n / (n + 1), which
-frees 1 / (n + 1). Discounts that Good-Turing can't give (a frequency of frequencies of 0, or a value outside (0, 1])
-are 1.
+One start stands before a document, so its first words have shorter histories. Where no count of a level (or of one h)
+is small enough to be discounted, its counts are scaled by n / (n + 1), which frees 1 / (n + 1). Discounts that
+Good-Turing can't give (a frequency of frequencies of 0, or a value outside (0, 1]) are 1.
 
 Texts are read once and kept as blocks: files of word hashes and local numbers in the shared folder. Everything that
-moves between machines is pre-aggregated in a block and packed: a block's distinct words go to word partitions, its
-distinct pairs to pair partitions, and counts and backoff weights come back in the same order. A pair partition holds
-all successors of its words; successors of words with a large share of all tokens are spread. The tables are one
-Parquet file a partition: ``words`` (word, count) and ``pairs`` (pair, count), keyed by 64-bit hashes.
+moves between machines is pre-aggregated in a block and packed. For each order in turn, a block's distinct n-grams go
+to n-gram partitions, which add them up and answer with their counts in the same order; those that can't have been seen,
+as the history or the shorter n-gram wasn't, are not sent. An n-gram partition holds all successors of its histories;
+successors of histories with a large share of all tokens are spread. Sums of histories go to history partitions, which
+answer with backoff weights; at the highest order only those that some score needs are asked for. A seen n-gram's
+shorter one was seen too, so the sum of its shorter probabilities takes counts only. The tables are one Parquet file a
+partition: ``grams1``, ``grams2``, ... (key, count), keyed by 64-bit hashes.
 
 Null and empty texts are the end token alone. Repeated rows are trained on and scored each. With no training tokens
 every probability is the unknown word's, 1. An empty table gives an empty result.
@@ -143,8 +147,16 @@ def _blocks(folder: str, block_bytes: int):
     return run
 
 
+class Grams:
+    """A block's distinct n-grams of one order. ``history`` and ``lower`` (the n-gram without its first word) are numbers
+    of the order below, ``word`` local numbers; ``at`` is each token's n-gram, -1 where its document starts too near."""
+
+    def __init__(self, history, lower, word, hashes, times, at):
+        self.history, self.lower, self.word, self.hashes, self.times, self.at = history, lower, word, hashes, times, at
+
+
 class Block:
-    """A block's tokens: words and ends as local numbers (the end is last but one, the start last), and its pairs."""
+    """A block's tokens: words and ends as local numbers (the end is last but one, the start last), and its n-grams."""
 
     def __init__(self, folder: str, name: str):
         self.ids, self.nulls, train, sizes, hashes, local = _get(folder, name)
@@ -157,9 +169,6 @@ class Block:
         inner = np.ones(total, bool)
         inner[ends] = False
         self.word[inner] = local
-        self.before = np.empty(total, np.int32)
-        self.before[1:] = self.word[:-1]
-        self.before[self.starts] = v + 1
         self.hashes = np.append(hashes, np.array([END, START], np.uint64))
         self.train_docs = train.astype(bool)
         self.train = np.repeat(self.train_docs, self.sizes)
@@ -168,19 +177,33 @@ class Block:
     def train_counts(self) -> np.ndarray:
         return np.bincount(self.word[self.train], minlength=self.n_words)
 
-    def pairs(self, only_train: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs (history * n + word, n over all local numbers), each token's pair, and training counts."""
-        before, word = (self.before[self.train], self.word[self.train]) if only_train else (self.before, self.word)
-        code = before.astype(np.int64)
-        code *= self.n_words + 1
-        code += word
-        distinct, at = np.unique(code, return_inverse=True)
-        at = at.astype(np.int32)
-        return distinct, at, np.bincount(at if only_train else at[self.train], minlength=len(distinct))
+    def grams(self, order: int) -> list[Grams | None]:
+        """Distinct n-grams by n, 1 ... order. Single words are all local numbers, the start among them."""
+        every = np.arange(self.n_words + 1)
+        out: list[Grams | None] = [None, Grams(None, None, every, self.hashes, np.append(self.train_counts(), 0), self.word)]
+        before = np.arange(len(self.word)) - np.repeat(self.starts, self.sizes)  # words of the document before a token
+        for n in range(2, order + 1):
+            below = out[-1]
+            held = np.flatnonzero(before >= n - 2)
+            code = below.at[held - 1].astype(np.int64)
+            if n == 2:
+                code[before == 0] = self.n_words
+            code *= self.n_words + 1
+            code += self.word[held]
+            distinct, number = np.unique(code, return_inverse=True)
+            del code
+            history, word = np.divmod(distinct, self.n_words + 1)
+            lower = np.empty(len(distinct), np.int32)
+            lower[number] = below.at[held]
+            at = np.full(len(self.word), -1, np.int32)
+            at[held] = number
+            times = np.bincount(number[self.train[held]], minlength=len(distinct))
+            out.append(Grams(history.astype(np.int32), lower, word.astype(np.int32), pair_hash(below.hashes[history], self.hashes[word]), times, at))
+        return out
 
 
 class Layout:
-    """Which partition a word or pair lies in. Pairs lie with their history; histories with over a quarter of a
+    """Which partition a history or n-gram lies in. N-grams lie with their history; histories with over a quarter of a
     partition's tokens are spread by the successor."""
 
     def __init__(self, tokens: int, train: int, partition_tokens: int = PARTITION_TOKENS):
@@ -237,17 +260,23 @@ def _grouped(work: Callable):
 
 
 class Model:
-    """A trained model: where its tables lie, and the few numbers that are no table."""
+    """A trained model: where its tables lie, and the few numbers that are no table. ``discounts`` are by order."""
 
-    def __init__(self, folder: str, layout: Layout, n: int, docs: int, vocabulary: int):
-        self.folder, self.layout, self.n, self.docs, self.vocabulary = folder, layout, n, docs, vocabulary
-        self.words, self.pairs = np.ones(K + 1), np.ones(K + 1)
+    def __init__(self, folder: str, layout: Layout, n: int, docs: int, order: int):
+        self.folder, self.layout, self.n, self.docs, self.order, self.vocabulary = folder, layout, n, docs, order, 0
+        self.discounts = [np.ones(K + 1) for _ in range(order + 1)]
         self.unknown, self.scale = 1.0, 1.0
+        self.answers: DataFrame | None = None
+
+    def __getstate__(self):  # what tasks need of it
+        return {k: v for k, v in self.__dict__.items() if k != "answers"}
+
+    def discounted(self, order: int, count: np.ndarray) -> np.ndarray:
+        return self.discounts[order][np.minimum(count, K + 1) % (K + 1)] * count
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
         """P(w) for training counts; a count of 0 is the unknown word's probability."""
-        count = count.astype(float)
-        p = self.scale * self.words[np.minimum(count, K + 1).astype(int) % (K + 1)] * count / max(1, self.n)
+        p = self.scale * self.discounted(1, count) / max(1, self.n)
         return np.where(count > 0, p, self.unknown)
 
 
@@ -281,6 +310,10 @@ class Corpus:
         self.names, self.train_tokens, self.train_docs = [r.name for r in done], sum(r.train for r in done), sum(r.docs for r in done)
         self.layout = Layout(sum(r.tokens for r in done), self.train_tokens, partition_tokens)
 
+    def _every(self) -> DataFrame:
+        """A row without data for each block, so that blocks that nobody answers are worked on too."""
+        return self.spark.createDataFrame([(k, k, -1, bytearray()) for k in range(len(self.names))], ROW)
+
     def _listed(self) -> DataFrame:
         n = len(self.names)
         return self.spark.createDataFrame(list(enumerate(self.names)), "block int, name string").repartitionById(max(1, n), F.col("block"))
@@ -292,7 +325,7 @@ class Corpus:
         return rows.repartitionById(self.layout.parts, F.col("to")).mapInArrow(_grouped(work), schema)
 
     def to_blocks(self, rows: DataFrame, work: Callable, schema: str) -> DataFrame:
-        return rows.repartitionById(max(1, len(self.names)), F.col("to")).mapInArrow(_grouped(work), schema)
+        return rows.unionByName(self._every()).repartitionById(max(1, len(self.names)), F.col("to")).mapInArrow(_grouped(work), schema)
 
     def open(self, k: int) -> Block:
         return Block(self.folder, self.names[k])
@@ -309,14 +342,6 @@ def _table(folder: str, name: str, key: np.ndarray, count: np.ndarray) -> None:
     fs.move(draft, f"{root}/{name}")
 
 
-def _read_table(folder: str, name: str) -> tuple[np.ndarray, np.ndarray]:
-    fs, root = filesystem(folder)
-    if fs.get_file_info(f"{root}/{name}").type.name == "NotFound":
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    table = pq.read_table(f"{root}/{name}", filesystem=fs)
-    return table["key"].to_numpy().view(np.uint64), table["count"].to_numpy()
-
-
 def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Values of ``wanted`` in a table sorted by its keys as signed numbers; 0 where there is none."""
     if not len(keys):
@@ -332,12 +357,11 @@ def _by_key(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return distinct.view(np.uint64), np.bincount(at, count, len(distinct)).astype(np.int64), at
 
 
-def _ask_words(corpus: Corpus, with_counts: bool):
+def _ask_words(corpus: Corpus):
     def emit(k: int, block: Block, _: list) -> Iterator[pa.RecordBatch]:
-        h = block.hashes[: block.n_words]
-        counts = block.train_counts() if with_counts else None
+        h, counts = block.hashes[: block.n_words], block.train_counts()
         for p, at in _split(corpus.layout.of_words(h)):
-            yield _row(p, k, p, _zip(h[at], _small(counts[at])) if with_counts else _zip(h[at]))
+            yield _row(p, k, p, _zip(h[at], _small(counts[at])))
 
     return emit
 
@@ -349,7 +373,7 @@ def _sum_words(folder: str):
         asked = [_unzip(data) for _, _, data in rows]
         sizes = [len(a[0]) for a in asked]
         key, count, at = _by_key(np.concatenate([a[0] for a in asked]), np.concatenate([a[1].astype(np.int64) for a in asked]))
-        _table(folder, f"words-{p:07d}.parquet", key[count > 0], count[count > 0])
+        _table(folder, f"grams1-{p:07d}.parquet", key[count > 0], count[count > 0])
         yield _row(-1, -1, p, _zip(np.append(_frequencies(count), [(count > 0).sum(), count.sum()]).astype("<i8")))
         for (k, _, _), got in zip(rows, np.split(count[at], np.cumsum(sizes)[:-1])):
             yield _row(k, k, p, _zip(_small(got)))
@@ -357,115 +381,141 @@ def _sum_words(folder: str):
     return work
 
 
-def _by_part(corpus: Corpus, block: Block, rows: list) -> list[np.ndarray]:
-    """The answers of word partitions, put in the order of the block's words."""
-    got = {part: _unzip(data) for _, part, data in rows}
-    out: list[np.ndarray] = []
-    for p, at in _split(corpus.layout.of_words(block.hashes[: block.n_words])):
-        for j, values in enumerate(got[p]):
-            if j == len(out):
-                out.append(np.zeros(block.n_words, np.float64 if values.dtype.kind == "f" else np.int64))
-            out[j][at] = values
-    return out
-
-
-def _ask_pairs(corpus: Corpus):
-    """A block's distinct training pairs to pair partitions: histories with run lengths, pair hashes, counts, and the
-    successors' word counts."""
+class Known:
+    """What a block knows when it holds the answers ``rows`` of a step: n-grams (up to ``most``), counts by order, and
+    weights of the histories by the order they are weighed for. A block's earlier answers lie in the model's folder."""
+
+    def __init__(self, corpus: Corpus, model: Model, k: int, rows: list, order: int, weighed: bool, most: int = 0):
+        self.model, self.layout = model, corpus.layout
+        self.block = corpus.open(k)
+        self.grams = self.block.grams(max(order, most))
+        got = {part: _unzip(data)[0] for _, part, data in rows if part >= 0}
+        self.counts: list = [None]
+        self.weights: list = [None, None]
+        for n in range(1, order + 1):
+            self._step(f"block-{k:07d}-counts-{n}", self.counts, got if n == order and not weighed else None, lambda n=n: self.counted(n), len(self.grams[n].hashes), np.int64)
+            if n == 1:
+                self.counts[1][self.block.n_words] = model.docs
+            elif n < order or weighed:
+                self._step(f"block-{k:07d}-weights-{n}", self.weights, got if n == order else None, lambda n=n: self.wanted(n), len(self.grams[n - 1].hashes), np.float64)
+
+    def _step(self, name: str, to: list, got: dict | None, parts: Callable, size: int, kind: type) -> None:
+        if got is None:
+            to.append(_get(self.model.folder, name)[0].astype(kind))
+            return
+        values = np.zeros(size, kind)
+        for p, at in parts():
+            values[at] = got[p]
+        _put(self.model.folder, name, _zip(values.astype("<f8") if kind is np.float64 else _small(values)))
+        to.append(values)
+
+    def counted(self, n: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The n-grams that may have been seen, by partition."""
+        if n == 1:
+            yield from _split(self.layout.of_words(self.block.hashes[: self.block.n_words]))
+            return
+        g, below = self.grams[n], self.counts[n - 1]
+        some = np.flatnonzero((below[g.history] > 0) & (below[g.lower] > 0))
+        history = g.history[some]
+        for p, at in _split(self.layout.of_pairs(self.grams[n - 1].hashes[history], self.block.hashes[g.word[some]], below[history])):
+            yield p, some[at]
+
+    def wanted(self, n: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The histories whose weights for order n are needed, by partition, in order of their hashes. The highest order
+        needs those of unseen n-grams, and of such that don't show by their own count that there was a discount."""
+        below = self.counts[n - 1]
+        if n < self.model.order:
+            some = np.flatnonzero(below > 0)
+        else:
+            g, c = self.grams[n], self.counts[n]
+            some = np.unique(g.history[(below[g.history] > 0) & ((c == 0) | (self.model.discounted(n, c) == c))])
+        h = self.grams[n - 1].hashes
+        for p, at in _split(self.layout.of_words(h[some])):
+            yield p, some[at][np.argsort(h[some[at]], kind="stable")]
+
+    def totals(self, n: int) -> np.ndarray:
+        """What the counts of order n are divided by, for each history."""
+        return self.counts[n - 1] + (self.weights[n] < 0)
+
+
+def _ask_grams(corpus: Corpus, model: Model, n: int):
+    """A block's distinct n-grams to their partitions: histories with run lengths and what the shorter n-grams' counts
+    are divided by, hashes, training counts, and the shorter n-grams' counts."""
 
     def work(k: int, rows: list) -> Iterator[pa.RecordBatch]:
-        block = corpus.open(k)
-        (count,) = _by_part(corpus, block, rows)
-        code, _, times = block.pairs(only_train=True)
-        v, w = np.divmod(code, block.n_words + 1)
-        hv, hw = block.hashes[v], block.hashes[w]
-        history = np.append(count, corpus.train_docs)[v]
-        key = pair_hash(hv, hw)
-        for p, at in _split(corpus.layout.of_pairs(hv, hw, history)):
-            first = np.flatnonzero(np.concatenate(([True], v[at][1:] != v[at][:-1])))
+        known = Known(corpus, model, k, rows, n - 1, n > 2, n)
+        g, below = known.grams[n], known.grams[n - 1]
+        lower = known.totals(n - 1)[below.lower] if n > 2 else np.full(len(below.hashes), model.n + (model.scale < 1))
+        for p, at in known.counted(n):
+            v = g.history[at]
+            first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
             runs = np.diff(np.append(first, len(at)))
-            yield _row(p, k, p, _zip(hv[at][first], _small(runs), key[at], _small(times[at]), _small(count[w[at]])))
+            yield _row(p, k, p, _zip(below.hashes[v[first]], _small(runs), _small(lower[v[first]]), g.hashes[at], _small(g.times[at]), _small(known.counts[n - 1][g.lower[at]])))
 
     return work
 
 
-def _sum_pairs(model: Model):
-    """Sums a partition's pairs, stores them, and sends each history's sums to the word partition that holds it."""
+def _sum_grams(model: Model, n: int):
+    """Sums a partition's n-grams, stores them, answers each block with their counts, and sends each history's sums to
+    the partition that weighs it."""
 
     def work(p: int, rows: list) -> Iterator[pa.RecordBatch]:
         packed = [_unzip(data) for _, _, data in rows]
-        v = np.concatenate([np.repeat(a[0], a[1]) for a in packed])
-        key, count, at = _by_key(np.concatenate([a[2] for a in packed]), np.concatenate([a[3].astype(np.int64) for a in packed]))
-        _table(model.folder, f"pairs-{p:07d}.parquet", key, count)
+        sizes = [len(a[3]) for a in packed]
+        key, count, at = _by_key(np.concatenate([a[3] for a in packed]), np.concatenate([a[4].astype(np.int64) for a in packed]))
+        seen = count > 0
+        _table(model.folder, f"grams{n}-{p:07d}.parquet", key[seen], count[seen])
         yield _row(-1, -1, p, _zip(_frequencies(count).astype("<i8")))
+        for (k, _, _), got in zip(rows, np.split(count[at], np.cumsum(sizes)[:-1])):
+            yield _row(k, k, p, _zip(_small(got)))
         first = np.zeros(len(key), np.int64)
         first[at] = np.arange(len(at))
-        v, c = v[first], np.concatenate([a[4].astype(np.int64) for a in packed])[first]
+        first, count = first[seen], count[seen]
+        v = np.concatenate([np.repeat(a[0], a[1]) for a in packed])[first]
+        total = np.concatenate([np.repeat(a[2].astype(np.int64), a[1]) for a in packed])[first]
+        below = np.concatenate([a[5].astype(np.int64) for a in packed])[first]
         history, of = np.unique(v, return_inverse=True)
-        kinds = np.stack([np.bincount(of, (count == r) * r, len(history)) for r in range(1, K + 1)] + [np.bincount(of, (count > K) * count, len(history))])
-        lower = np.bincount(of, model.unigram(c), len(history))
+        kinds = [np.bincount(of, (count == r) * r, len(history)) for r in range(1, K + 1)] + [np.bincount(of, (count > K) * count, len(history))]
+        lower = np.bincount(of, model.discounted(n - 1, below) / total, len(history))
         for to, at2 in _split(model.layout.of_words(history)):
             yield _row(to, -1, p, _zip(history[at2], *(_small(x[at2].astype(np.int64)) for x in kinds), lower[at2].astype("<f8")))
 
     return work
 
 
-def _weigh(model: Model):
-    """A word partition's backoff weights, from the sums of its histories; answers blocks with (weight, count).
+def _ask_weights(corpus: Corpus, model: Model, n: int):
+    """The histories whose weights a block needs, as sorted hashes, to the partitions that weigh them."""
+
+    def work(k: int, rows: list) -> Iterator[pa.RecordBatch]:
+        known = Known(corpus, model, k, rows, n, False)
+        for p, at in known.wanted(n):
+            yield _row(p, k, p, _zip(np.diff(known.grams[n - 1].hashes[at], prepend=np.uint64(0))))
+
+    return work
+
+
+def _weigh(model: Model, n: int):
+    """A partition's backoff weights, from the sums of its histories, as answers to blocks.
 
     A weight is negated where the history's counts are scaled because none could be discounted."""
 
     def work(p: int, rows: list) -> Iterator[pa.RecordBatch]:
         sums = [_unzip(data) for k, _, data in rows if k < 0]
-        words, counts = _read_table(model.folder, f"words-{p:07d}.parquet")
         history, weight = np.zeros(0, np.uint64), np.zeros(0)
         if sums:
             columns = [np.concatenate([s[j] for s in sums]) for j in range(K + 3)]
             history, of = np.unique(columns[0].view(np.int64), return_inverse=True)
             history = history.view(np.uint64)
             total = [np.bincount(of, c.astype(float), len(history)) for c in columns[1:]]
-            n = np.maximum(sum(total[:-1]), 1)
-            kept = (sum(model.pairs[r] * total[r - 1] for r in range(1, K + 1)) + total[K]) / n
+            size = np.maximum(sum(total[:-1]), 1)
+            kept = (sum(model.discounts[n][r] * total[r - 1] for r in range(1, K + 1)) + total[K]) / size
             undiscounted = kept > 1 - 1e-12
-            left = np.where(undiscounted, 1 / (n + 1), 1 - kept)
+            left = np.where(undiscounted, 1 / (size + 1), 1 - kept)
             weight = left / np.maximum(1 - total[K + 1], 1e-300) * np.where(undiscounted, -1, 1)
         for k, _, data in rows:
             if k >= 0:
-                (asked,) = _unzip(data)
-                yield _row(k, k, p, _zip(_look_up(history, weight, asked).astype("<f8"), _small(_look_up(words, counts, asked))))
-
-    return work
-
-
-def _ask_seen(corpus: Corpus):
-    """All distinct pairs of a block, as sorted hashes, to the pair partitions; and its words' answers to itself."""
-
-    def work(k: int, rows: list) -> Iterator[pa.RecordBatch]:
-        block = corpus.open(k)
-        _, count = _by_part(corpus, block, rows)
-        for p, at, key in _pair_requests(corpus, block, count):
-            yield _row(p, k, p, _zip(np.diff(key, prepend=np.uint64(0))))
-
-    return work
-
-
-def _pair_requests(corpus: Corpus, block: Block, count: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    code, _, _ = block.pairs(only_train=False)
-    v, w = np.divmod(code, block.n_words + 1)
-    hv, hw = block.hashes[v], block.hashes[w]
-    history = np.append(count, corpus.train_docs)[v]
-    key = pair_hash(hv, hw)
-    for p, at in _split(corpus.layout.of_pairs(hv, hw, history)):
-        order = at[np.argsort(key[at], kind="stable")]
-        yield p, order, key[order]
-
-
-def _answer_pairs(model: Model):
-    def work(p: int, rows: list) -> Iterator[pa.RecordBatch]:
-        keys, counts = _read_table(model.folder, f"pairs-{p:07d}.parquet")
-        for k, _, data in rows:
-            (steps,) = _unzip(data)
-            yield _row(k, k, p, _zip(_small(_look_up(keys, counts, np.cumsum(steps, dtype=np.uint64)))))
+                (steps,) = _unzip(data)
+                yield _row(k, k, p, _zip(_look_up(history, weight, np.cumsum(steps, dtype=np.uint64)).astype("<f8")))
 
     return work
 
@@ -473,24 +523,23 @@ def _answer_pairs(model: Model):
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _evaluate(corpus: Corpus, model: Model, start_weight: float):
-    """Scores a block's documents from its words' counts and weights (part < parts) and its pairs' counts."""
+def _evaluate(corpus: Corpus, model: Model):
+    """Scores a block's documents."""
 
     def work(k: int, rows: list) -> Iterator[pa.RecordBatch]:
-        block = corpus.open(k)
-        weight, count = _by_part(corpus, block, [r for r in rows if r[0] == 0])
-        seen = {part: _unzip(data)[0] for kind, part, data in rows if kind == 1}
-        code, at, _ = block.pairs(only_train=False)
-        times = np.zeros(len(code), np.int64)
-        for p, order, _ in _pair_requests(corpus, block, count):
-            times[order] = seen[p]
-        v, w = np.divmod(code, block.n_words + 1)
-        weight, history = np.append(weight, start_weight)[v], np.append(count, model.docs)[v].astype(float)
-        lower = np.log10(model.unigram(count))[w]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            direct = np.log10(model.pairs[np.minimum(times, K + 1) % (K + 1)] * times / history) + np.where(weight < 0, np.log10(history / (history + 1)), 0)
-            backed = np.where(history > 0, np.log10(np.abs(weight)), 0) + lower
-        log = np.where(times > 0, direct, backed)
+        known = Known(corpus, model, k, rows, model.order, model.order > 1)
+        block, count = known.block, known.counts[1].copy()
+        count[block.n_words] = 0
+        of = np.log10(model.unigram(count))
+        log = of[block.word]
+        for n in range(2, model.order + 1):
+            g, times = known.grams[n], known.counts[n]
+            weight, history = known.weights[n][g.history], known.counts[n - 1][g.history]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                direct = np.log10(model.discounted(n, times) / known.totals(n)[g.history])
+                backed = np.where(history > 0, np.log10(np.abs(weight)), 0) + of[g.lower]
+            of = np.where(times > 0, direct, backed)
+            log = np.where(g.at >= 0, of[g.at], log)
         c = count[block.word]
         base = np.log10((c + 0.5) / (model.n + 0.5 * (model.vocabulary + 1)))
         total = lambda x: np.add.reduceat(x, block.starts)
@@ -498,7 +547,7 @@ def _evaluate(corpus: Corpus, model: Model, start_weight: float):
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(block.ids, pa.int64(), mask=block.nulls.astype(bool)), pa.array(~block.train_docs), pa.array(block.sizes, pa.int64()), pa.array(total((c > 0).astype(np.int64)), pa.int64()),
-                pa.array([model.n] * n, pa.int64()), pa.array(total(base), pa.float64()), pa.array(total(log[at]), pa.float64()),
+                pa.array([model.n] * n, pa.int64()), pa.array(total(base), pa.float64()), pa.array(total(log), pa.float64()),
             ],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
@@ -506,49 +555,40 @@ def _evaluate(corpus: Corpus, model: Model, start_weight: float):
     return work
 
 
-def train(corpus: Corpus) -> Model:
-    """Counts the training documents of ``corpus`` and stores the tables. Only sums of a partition reach the driver."""
+def train(corpus: Corpus, order: int = 2) -> Model:
+    """Counts the training documents of ``corpus`` and stores the tables; blocks get what scores of all documents need.
+    Only sums of a partition reach the driver."""
     spark = corpus.spark
     folder = shared_path(spark, "katz")
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
-    model = Model(folder, corpus.layout, corpus.train_tokens, corpus.train_docs, 0)
+    model = Model(folder, corpus.layout, corpus.train_tokens, corpus.train_docs, order)
     if not corpus.names:
         return model
-    words = written(corpus.to_parts(corpus.emitted(_ask_words(corpus, True)), _sum_words(folder)), "word-answers")
-    sums = sum(_unzip(bytes(r.data))[0] for r in words.where("to < 0").select("data").collect())
+    answers = written(corpus.to_parts(corpus.emitted(_ask_words(corpus)), _sum_words(folder)), "word-answers")
+    sums = sum(_unzip(bytes(r.data))[0] for r in answers.where("to < 0").select("data").collect())
     model.vocabulary = int(sums[K + 1])
-    model.words = good_turing(sums[: K + 1].astype(float))
-    freed = sum((1 - model.words[r]) * r * sums[r - 1] for r in range(1, K + 1)) / max(1, model.n)
+    model.discounts[1] = good_turing(sums[: K + 1].astype(float))
+    freed = sum((1 - model.discounts[1][r]) * r * sums[r - 1] for r in range(1, K + 1)) / max(1, model.n)
     model.unknown = float(freed) if freed > 0 else 1 / (model.n + 1)
     model.scale = 1.0 if freed > 0 else model.n / (model.n + 1)
-    pairs = corpus.to_blocks(words.where("to >= 0"), _ask_pairs(corpus), ROW)
-    model.sums = written(corpus.to_parts(pairs, _sum_pairs(model)), "history-sums")
-    got = [_unzip(bytes(r.data))[0] for r in model.sums.where("to < 0").select("data").collect()]
-    model.pairs = good_turing((sum(got) if got else np.zeros(K + 1)).astype(float))
-    del pairs
-    forget(words)
+    for n in range(2, order + 1):
+        grams = corpus.to_blocks(answers.where("to >= 0"), _ask_grams(corpus, model, n), ROW)
+        sums = written(corpus.to_parts(grams, _sum_grams(model, n)), "gram-sums")
+        got = [_unzip(bytes(r.data))[0] for r in sums.where("to < 0").select("data").collect()]
+        model.discounts[n] = good_turing((sum(got) if got else np.zeros(K + 1)).astype(float))
+        del grams
+        forget(answers)
+        asked = corpus.to_blocks(sums.where("block >= 0"), _ask_weights(corpus, model, n), ROW)
+        answers = written(corpus.to_parts(sums.where("to >= 0 and block < 0").unionByName(asked), _weigh(model, n)), "weights")
+        del asked
+        forget(sums)
+    model.answers = answers
     return model
 
 
 def score(corpus: Corpus, model: Model) -> DataFrame:
-    """One row per document of ``corpus``: SCORES."""
+    """One row per document of ``corpus``, on which ``model`` was trained: SCORES."""
     if not corpus.names:
         return corpus.spark.createDataFrame([], SCORES)
-    sums, plain = model.sums, Model.__new__(Model)
-    plain.__dict__.update({k: v for k, v in model.__dict__.items() if k != "sums"})
-    asked = corpus.emitted(_ask_words(corpus, False)).unionByName(_start(corpus, model))
-    weights = written(corpus.to_parts(sums.where("to >= 0").unionByName(asked), _weigh(plain)), "weights")
-    start = [_unzip(bytes(r.data))[0] for r in weights.where(F.col("block") == len(corpus.names)).select("data").collect()]
-    forget(sums)
-    weights = weights.where(F.col("block") < len(corpus.names))
-    counts = corpus.to_parts(corpus.to_blocks(weights, _ask_seen(corpus), ROW), _answer_pairs(plain))
-    both = weights.withColumn("block", F.lit(0)).unionByName(counts.withColumn("block", F.lit(1)))
-    return corpus.to_blocks(both, _evaluate(corpus, plain, float(start[0][0]) if start else 0.0), SCORES)
-
-
-def _start(corpus: Corpus, model: Model) -> DataFrame:
-    """Asks for the weight of the start, under the number behind the last block."""
-    h = np.array([START], np.uint64)
-    p = int(corpus.layout.of_words(h)[0])
-    return corpus.spark.createDataFrame([(p, len(corpus.names), p, bytearray(_zip(h)))], ROW)
+    return corpus.to_blocks(model.answers.where("to >= 0"), _evaluate(corpus, model), SCORES)

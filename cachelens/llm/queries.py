@@ -77,7 +77,7 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     corpus = katz.Corpus(table(spark, sf_dir, "documents"), ~held)
-    return katz.score(corpus, katz.train(corpus))
+    return katz.score(corpus, katz.train(corpus, order=3))
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_token_files, op4_warc, op5_toxicity, op6_mixing, op7_token_counts, op8_decontamination, op9_near_dup, op10_katz)}

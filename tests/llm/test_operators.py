@@ -456,6 +456,71 @@ def test_katz(docs, empty, size):
     assert katz.score(none, katz.train(none)).count() == 0
 
 
+def brute_backoff(docs, held, order, k=5):
+    """Scores by the recursive definition, n-grams as tuples."""
+    toks = [["START", *(t or "").encode().lower().split(), "END"] for _, t in docs]
+    count, after = collections.Counter(), collections.defaultdict(set)
+    for ws, h in zip(toks, held):
+        for j in range(1, len(ws) if not h else 0):
+            for n in range(1, min(order, j + 1) + 1):
+                count[tuple(ws[j - n + 1 : j + 1])] += 1
+                after[tuple(ws[j - n + 1 : j])].add(ws[j])
+    size = {h: sum(count[*h, w] for w in ws) for h, ws in after.items()}
+    discount = [None]
+    for n in range(1, order + 1):
+        f = collections.Counter(c for g, c in count.items() if len(g) == n)
+        d, base = {}, (k + 1) * f[k + 1] / f[1] if f[1] else 1
+        for r in range(1, k + 1):
+            x = ((r + 1) * f[r + 1] / (r * f[r]) - base) / (1 - base) if f[r] and base < 1 else 1.0
+            d[r] = x if 0 < x <= 1 else 1.0
+        discount.append(d)
+    known, freed = {}, {}
+
+    def seen(h, w):
+        c = count[*h, w]
+        return discount[len(h) + 1].get(c, 1.0) * c
+
+    def left(h):
+        if h not in freed:
+            x = 1 - sum(seen(h, w) for w in after[h]) / size[h]
+            freed[h] = (1.0, x) if x > 1e-12 else (size[h] / (size[h] + 1), 1 / (size[h] + 1))
+        return freed[h]
+
+    def p(w, h):
+        if h not in size:
+            return p(w, h[1:])
+        if (h, w) not in known:
+            scale, x = left(h)
+            if w in after[h]:
+                known[h, w] = scale * seen(h, w) / size[h]
+            else:
+                known[h, w] = x / (1 - sum(p(y, h[1:]) for y in after[h])) * p(w, h[1:]) if h else x
+        return known[h, w]
+
+    for h in [g for g in after if len(g) == order - 1][:8]:
+        assert abs(sum(p(w, h) for w in [*after[()], "never seen"]) - 1) < 1e-9
+    score = lambda ws: sum(math.log10(p(ws[j], tuple(ws[max(0, j - order + 1) : j]))) for j in range(1, len(ws)))
+    return sorted((i is None, i or 0, len(ws) - 1, score(ws)) for (i, _), ws in zip(docs, toks))
+
+
+@pytest.mark.parametrize("order, size", [(3, (64 << 20, 2_000_000)), (3, (500, 300)), (4, (5000, 3000)), (1, (5000, 3000))])
+def test_katz_of_order(docs, order, size):
+    fold = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, *_ in rows()]
+    corpus = katz.Corpus(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1, *size)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score) for r in katz.score(corpus, katz.train(corpus, order)).collect())
+    want = brute_backoff([(r[0], r[1]) for r in rows()], fold, order)
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert np.allclose([x[3] for x in got], [x[3] for x in want], rtol=1e-9)
+
+
+def test_katz_query_scores_from_two_words(spark, monkeypatch):
+    from cachelens.llm import queries
+
+    orders, train = [], katz.train
+    monkeypatch.setattr(katz, "train", lambda corpus, order=2: orders.append(order) or train(corpus, order))
+    assert queries.op10_katz(spark, "/root/testdata/sf0.001").count() > 0 and orders == [3]
+
+
 def test_katz_without_training(docs):
     corpus = katz.Corpus(docs, F.lit(False))
     assert all(r.score == 0 and r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in katz.score(corpus, katz.train(corpus)).collect())
