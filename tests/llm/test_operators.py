@@ -190,6 +190,19 @@ def test_toxicity_is_learnt_and_ignores_group_names(spark, docs, empty):
     assert toxicity.score_toxicity(empty, labels).count() == 0
 
 
+def test_toxicity_screen_is_the_same_over_any_tasks(spark):
+    made = [(f"common words in text {k} " + ("vile" if k % 5 == 0 else "kind"), int(k % 5 == 0)) for k in range(40)]
+    train = spark.createDataFrame(made, "text string, toxic int")
+    want = collections.defaultdict(lambda: [0, 0])
+    for text, toxic in made:
+        for f in set(toxicity.grams(toxicity.normalised(text)).tolist()):
+            want[f][toxic] += 1
+    for tasks in (1, 40):
+        out = train.repartitionByRange(tasks, "text").mapInArrow(toxicity._screen, "feature long, clean long, toxic long")
+        got = out.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()
+        assert {r.feature: [r.clean, r.toxic] for r in got} == dict(want)
+
+
 def test_pairing_evens_out_swapped_terms():
     from types import SimpleNamespace as Row
 
