@@ -6,11 +6,14 @@ exactly what ``bytes.split()`` without arguments does, so texts are split as UTF
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +32,22 @@ _memory: dict[str, object] = {}
 def remembered(owner: str, make):
     """This worker's memory of ``owner``; another operator's is dropped."""
     if owner not in _memory:
-        _memory.clear()
+        if _memory:
+            _memory.clear()
+            give_back()
         _memory[owner] = make()
     return _memory[owner]
 
 
+def give_back() -> None:
+    """Returns what this worker has freed to the system: Arrow's pool, and the C library's heap where it can be asked to."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def shared_base(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
