@@ -48,6 +48,16 @@ def give_back() -> None:
         trim(0)
 
 
+def released(work):
+    """``work`` for mapInArrow; a worker, which lives on for other stages, gives its memory back behind it."""
+
+    def run(batches):
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def shared_base(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

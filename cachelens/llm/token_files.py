@@ -9,31 +9,42 @@ File (little-endian): magic ``DACT1``, documents n (u64), tokens t (u64), levels
 (i64) and n bytes that are 1 where the id is null; then each level: ids m (u64), m chunk bytes, and but for the last
 level the bitmap in 64-bit words and the directory (u64 for every 8 words).
 
-Files hold ascending ranges of doc_id, null first; equal ids are ordered by text. Null and empty texts hold the end id
-alone. An empty table gives no file. A shard is written under a name of its own and then renamed, so a repeated or
-speculative task replaces it whole.
+Files hold ascending ranges of doc_id, null first; rows of an equal id are ordered by a hash of the text. Null and empty
+texts hold the end id alone; a text of any length is encoded whole, and a file is closed behind the document that fills
+it. An empty table gives no file. Other columns aren't read, whatever their names. A file is written under a name of its
+own and then renamed, so a repeated or speculative task replaces it whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import filesystem, remembered
+from .common import filesystem, released, remembered, written
 
 MAGIC, END = b"DACT1", 1
-#: Chunks remembered by a worker before its memory is emptied.
-MEMORY = 400_000
+#: Chunks that a worker remembers: so many new ones, and as many older ones. Bytes of the longest. Marks for chunks that
+#: came once.
+MEMORY, REMEMBERED, DOOR = 400_000, 64, 1 << 22
+#: Ids of a file, about; files that a task reads, one after another.
+FILE_TOKENS, FILES_A_TASK = 2_000_000, 4
+#: Fixed value: the words of the tokenizers that are encoded by chunk.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+MANIFEST = "part long, number long, name string, docs long, tokens long"
 
 # --- the codec
 
@@ -112,12 +123,16 @@ class TokenFile:
 
 
 def file_bytes(doc_ids: list, ids: list[np.ndarray]) -> bytes:
-    offsets = np.concatenate((np.zeros(1, np.uint64), np.cumsum([len(x) for x in ids], dtype=np.uint64)))
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+    return whole_file(doc_ids, np.array([len(x) for x in ids], np.int64), np.concatenate(ids) if ids else np.zeros(0, np.uint32))
+
+
+def whole_file(doc_ids: list, sizes: np.ndarray, flat: np.ndarray) -> bytes:
+    """A file of documents with ``sizes`` ids each, all ids behind one another."""
+    offsets = np.concatenate((np.zeros(1, np.uint64), np.cumsum(sizes, dtype=np.uint64)))
     levels = pack(flat)
     return b"".join(
         (
-            MAGIC, struct.pack("<QQB", len(ids), len(flat), len(levels)), offsets.astype("<u8").tobytes(),
+            MAGIC, struct.pack("<QQB", len(doc_ids), len(flat), len(levels)), offsets.astype("<u8").tobytes(),
             np.array([d or 0 for d in doc_ids], "<i8").tobytes(), bytes(d is None for d in doc_ids), *levels,
         )
     )
@@ -125,8 +140,11 @@ def file_bytes(doc_ids: list, ids: list[np.ndarray]) -> bytes:
 
 # --- the encoder
 
-#: A chunk that is one word of plain or Latin-1 letters, with at most one mark behind it.
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([.,;:!?|]?)")
+#: A chunk that is one word of plain or Latin-1 letters with marks behind it; and words, digits and runs of marks in any
+#: order. Marks are such that no special token and no split of the tokenizer's words starts with one.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([.,;:!?|#$%&*()/=+_-]*)")
+_PIECES = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)|([0-9])|([.,;:!?|#$%&*()/=+_-]+)")
+_PIECED = re.compile(rf"(?:{_PIECES.pattern})+")
 
 
 def _byte_letters() -> list[str]:
@@ -136,51 +154,108 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(other)) for b in range(256)]
 
 
-class Encoder:
+class Encoder(dict):
     """Encodes whole texts with the tokenizers library, a chunk between ASCII white space at a time.
 
-    The tokenizer drops white space and splits words before merging, so chunks are encoded alike alone and in a text.
-    Chunks repeat and are remembered in the worker. A chunk of one word is given to the library's model directly,
-    lower-cased as its normaliser does; every other chunk goes through the library's whole encoding.
+    Where the tokenizer drops white space and splits words before merging, chunks are encoded alike alone and in a
+    text; the loaded file is asked whether it does, and any other tokenizer gets whole texts. Short chunks repeat and
+    are remembered in the worker. A chunk of one word is given to the library's model directly, lower-cased as its
+    normaliser does; every other chunk goes through the library's whole encoding.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
+        self.older: dict[bytes, bytes] = {}
+        self.door, self.came = bytearray(DOOR), 0
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.memory: dict[bytes, bytes] = {}
+        self.by_chunk = _by_chunk(self.tokenizer)
         self.letters = _byte_letters()
-        self.marks = {m: self._whole(m) for m in ".,;:!?|"} | {"": b""}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def _chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        m = _SIMPLE.fullmatch(text)
-        if not m:
-            return self._whole(text)
-        word = m[1].lower()
+    def _word(self, word: str) -> bytes:
+        word = word.lower()
         if not word.isascii():
             word = "".join(map(self.letters.__getitem__, word.encode()))
-        return np.array([t.id for t in self.model.tokenize(word)], np.uint32).tobytes() + self.marks[m[2]]
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _mark(self, run: str) -> bytes:
+        """A digit or a run of marks; the short ones are few and remembered."""
+        ids = self.marks.get(run)
+        if ids is None:
+            ids = self._whole(run)
+            if len(run) <= 3:
+                self.marks[run] = ids
+        return ids
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            text = chunk.decode()
+            m = _SIMPLE.fullmatch(text)
+            if m:
+                ids = self._word(m[1])
+                if m[2]:
+                    ids += self._mark(m[2])
+            elif _PIECED.fullmatch(text):
+                ids = b"".join(self._word(w) if w else self._mark(n or run) for w, n, run in _PIECES.findall(text))
+            else:
+                ids = self._whole(text)
+        place = hash(chunk) & (DOOR - 1)
+        if len(chunk) > REMEMBERED:
+            return ids
+        if not self.door[place]:  # most chunks never come again: only the second time is remembered
+            self.door[place] = 1
+            self.came += 1
+            if 2 * self.came > DOOR:
+                self.door, self.came = bytearray(DOOR), 0
+            return ids
+        if len(self) >= MEMORY:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = ids
+        return ids
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        memory = self.memory
-        chunks = text.encode().split()
-        try:
-            return np.frombuffer(b"".join(map(memory.__getitem__, chunks)), np.uint32)
-        except KeyError:
-            if len(memory) > MEMORY:
-                memory.clear()
-            for c in set(chunks):
-                if c not in memory:
-                    memory[c] = self._chunk(c)
-            return np.frombuffer(b"".join(map(memory.__getitem__, chunks)), np.uint32)
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``texts`` behind one another, and how many each has; null is empty. Chunks are looked up once."""
+        if not self.by_chunk:
+            parts = [self._whole(t.as_py()) if t.is_valid else b"" for t in texts]
+            return np.frombuffer(b"".join(parts), np.uint32), np.array([len(p) // 4 for p in parts], np.int64)
+        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        chunks = lists.flatten().dictionary_encode()
+        ids = list(map(self.__getitem__, chunks.dictionary.cast(pa.large_binary()).to_pylist()))
+        pool = np.frombuffer(b"".join(ids), np.uint32)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(lengths) - lengths
+        code = chunks.indices.to_numpy()
+        size = lengths[code]
+        ends = np.cumsum(size)
+        flat = pool[np.repeat(starts[code] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        n_chunks = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        upto = np.concatenate(([0], ends))[np.concatenate(([0], n_chunks))]
+        return flat, np.diff(upto)
+
+
+def _by_chunk(tokenizer) -> bool:
+    """Whether a tokenizer lower-cases, drops white space, and splits words into byte letters before merging."""
+    normalizer, splitter = ({} if x is None else json.loads(x.__getstate__()) for x in (tokenizer.normalizer, tokenizer.pre_tokenizer))
+    steps = normalizer.get("normalizers", [])
+    split, *rest = splitter.get("pretokenizers", [{}])
+    return (
+        [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+        and split.get("pattern") == {"Regex": PATTERN} and split["behavior"] == "Removed" and split["invert"]
+        and [(r["type"], r["add_prefix_space"], r["use_regex"]) for r in rest] == [("ByteLevel", False, False)]
+        and type(tokenizer.model).__name__ == "BPE" and not tokenizer.model.dropout and not tokenizer.truncation and not tokenizer.padding
+    )
 
 
 def encoder(path: str) -> Encoder:
@@ -190,23 +265,47 @@ def encoder(path: str) -> Encoder:
 # --- the job
 
 
-def _write(folder: str, tokenizer_path: str, end_id: int):
+def _write(folder: str, tokenizer_path: str, end_id: int, file_tokens: int):
+    """Encodes rows in their order; a file is closed at ``file_tokens`` ids, so memory holds the ids of one file and of one
+    batch of rows, and no texts but that batch's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, rows, part = encoder(tokenizer_path), [], None
-        for batch in batches:
-            for p, doc_id, text in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                part = p if part is None else part
-                rows.append((doc_id is not None, doc_id or 0, np.append(code.encode(text), np.uint32(end_id)).astype(np.uint32), text or ""))
-        if not rows:
-            return
-        rows.sort(key=lambda r: (r[0], r[1], r[3]))
+        from pyspark import TaskContext
+
+        code, part, number = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         fs, root = filesystem(folder)
-        name = f"{part:08d}.dact"
-        draft = f"{root}/.{name}.{uuid.uuid4().hex}"
-        with fs.open_output_stream(draft) as f:
-            f.write(file_bytes([r[1] if r[0] else None for r in rows], [r[2] for r in rows]))
-        fs.move(draft, f"{root}/{name}")
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([sum(len(r[2]) for r in rows)], pa.int64())], ["part", "name", "tokens"])
+        doc_ids: list = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def close() -> pa.RecordBatch:
+            name = f"{part:08d}-{number:05d}.dact"
+            draft = f"{root}/.{name}.{uuid.uuid4().hex}"
+            sizes, flat = (np.concatenate(x) for x in zip(*held))
+            with fs.open_output_stream(draft) as f:
+                f.write(whole_file(doc_ids, sizes, flat))
+            fs.move(draft, f"{root}/{name}")
+            doc_ids.clear()
+            held.clear()
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((part, number, name, len(sizes), len(flat)), kinds)], ["part", "number", "name", "docs", "tokens"])
+
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            flat, sizes = code.encode_all(batch.column("text"))
+            flat, sizes = np.insert(flat, np.cumsum(sizes), np.uint32(end_id)), sizes + 1
+            ends, at = np.cumsum(sizes), 0
+            while at < len(ids):
+                before = int(ends[at - 1]) if at else 0
+                room = file_tokens - sum(len(x) for _, x in held)
+                upto = min(int(np.searchsorted(ends, before + room)) + 1, len(ids))  # the document that fills the file is its last
+                held.append((sizes[at:upto], flat[before : int(ends[upto - 1])]))
+                doc_ids += ids[at:upto]
+                if int(ends[upto - 1]) - before >= room:
+                    yield close()
+                    number += 1
+                at = upto
+        if held:
+            yield close()
 
     return run
 
@@ -223,7 +322,7 @@ def _read(folder: str):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(shard.doc_ids, pa.int64(), mask=shard.nulls.astype(bool)), pa.array(at[:-1] + base), pa.array(np.diff(at)),
-                        pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in ends], pa.int64()),
+                        pa.array([zlib.crc32(ids[a:b]) for a, b in ends], pa.int64()),
                     ],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
@@ -231,45 +330,35 @@ def _read(folder: str):
     return run
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END, shard_rows: int = 8192) -> DataFrame:
-    """Writes ``docs`` (doc_id, text) as token files into ``folder`` and returns the manifest: part, name, tokens, base.
+def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END, shard_rows: int = 8192, file_tokens: int = FILE_TOKENS) -> DataFrame:
+    """Writes ``docs`` (doc_id, text) as token files into ``folder`` and returns the manifest: part, number, name, docs,
+    tokens, and base, the tokens of all files before.
 
-    Documents are dealt by doc_id range, at most about ``shard_rows`` rows a shard; borders come from quantiles of the
-    id column alone. Rows of one id that is repeated over whole shards stay together.
+    Documents are dealt by ranges of (doc_id, hash of the text), at most about ``shard_rows`` rows a range, so a null or
+    repeated id that fills a third of the table is split as well. Spark sorts each range and may spill; a task streams
+    its range into files of about ``file_tokens`` ids. Nothing but samples of the sort key reaches the driver.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     count = rows.count()
-    shards = max(1, min(100_000, -(-count // shard_rows), count), min(spark.sparkContext.defaultParallelism * 4, -(-count // 256)))
-    borders = rows.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.1 / shards) if shards > 1 else []
-    cuts = sorted({int(b) for b in borders})
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b < F.col("doc_id"))) if 0 < len(cuts) <= 64 else _bucket(cuts)
-    dealt = rows.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part + 1).cast("long"))
+    shards = max(1, -(-count // shard_rows), min(spark.sparkContext.defaultParallelism * 4, -(-count // 256)))
+    order = [F.asc_nulls_first("doc_id"), F.asc("tie")]
     filesystem(folder)[0].create_dir(filesystem(folder)[1], recursive=True)
-    dealt = dealt.repartitionById(len(cuts) + 2, F.col("part").cast("int"))
-    done = dealt.mapInArrow(_write(folder, tokenizer_path, end_id), "part long, name string, tokens long").collect()
-    base, manifest = 0, []
-    for r in sorted(done, key=lambda r: r.part):
-        manifest.append((r.part, r.name, r.tokens, base))
-        base += r.tokens
-    return spark.createDataFrame(manifest, "part long, name string, tokens long, base long")
-
-
-def _bucket(cuts: list[int]):
-    """Borders below a value, by binary search over a literal array."""
-    if not cuts:
-        return F.lit(0)
-    at = F.lit(0)
-    borders = F.array(*map(F.lit, cuts))
-    step = 1 << (len(cuts).bit_length() - 1)
-    while step:
-        nxt = at + F.lit(step)
-        at = F.when((nxt <= len(cuts)) & (F.try_element_at(borders, nxt) < F.col("doc_id")), nxt).otherwise(at)
-        step //= 2
-    return at
+    dealt = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).drop("tie")
+    files = written(dealt.mapInArrow(released(_write(folder, tokenizer_path, end_id, file_tokens)), MANIFEST), "token-manifest")
+    return _with_base(files)
+
+
+def _with_base(files: DataFrame, together: int = 1024) -> DataFrame:
+    """The manifest with the tokens before each file: summed inside groups of parts, and over the few groups."""
+    grouped = files.withColumn("grp", F.floor(F.col("part") / together))
+    inside = Window.partitionBy("grp").orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(F.lit(0)).orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
+    before = grouped.groupBy("grp").agg(F.sum("tokens").alias("all")).select("grp", F.coalesce(F.sum("all").over(over), F.lit(0)).alias("before"))
+    return grouped.withColumn("base", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(before, "grp").withColumn("base", F.col("base") + F.col("before")).drop("grp", "before")
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     """One row per document of the files: doc_id, start, n_tokens, ids_crc32."""
-    n = manifest.count()
-    return manifest.repartition(max(1, n)).mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = max(1, -(-manifest.count() // FILES_A_TASK))
+    return manifest.repartition(tasks).mapInArrow(released(_read(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")
