@@ -58,4 +58,36 @@ c AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT c.node,
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM (SELECT node AS doc_id, min(seen) AS component_id FROM c GROUP BY node) LEFT JOIN n USING (doc_id)"""
 
-SQL = {"op2_quality_rules": QUALITY_RULES, "op4_warc": WARC, "op8_decontamination": DECONTAMINATION, "op9_near_dup": NEAR_DUP}
+
+
+def _share_out(level: int) -> str:
+    """Budgets of the nodes of a level, water-filled among siblings: full are those of least capacity by weight, up to the
+    first that the level of what is left does not fill."""
+    path, parent = ", ".join(f"l{k}" for k in range(level + 1)), ", ".join(f"l{k}" for k in range(level))
+    by = f"PARTITION BY {', '.join(f'n.l{k}' for k in range(level))}" if level else ""
+    order = "ORDER BY capacity / weight, n.l" + str(level)
+    same = " AND ".join(f"n.l{k} IS NOT DISTINCT FROM u.l{k}" for k in range(level)) or "true"
+    group = f"PARTITION BY {parent}" if level else ""
+    return f"""
+n{level} AS (SELECT {path}, sum(tokens) AS tokens, 2.0 * sum(tokens) AS capacity, pow(sum(tokens), 0.7) AS weight FROM leaf GROUP BY {path}),
+f{level} AS (SELECT n.*, capacity / weight AS ratio, (u.given - coalesce(sum(capacity) OVER ({by} {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+ / sum(weight) OVER ({by} {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS mark FROM n{level} n JOIN g{level} u ON {same}),
+g{level + 1} AS (SELECT {path}, CASE WHEN least_open IS NULL OR ratio <= least_open THEN least(capacity, coalesce(least_open * weight, capacity)) ELSE least_open * weight END AS given
+ FROM (SELECT *, min_by(mark, ratio) FILTER (ratio > mark) OVER ({group}) AS least_open FROM f{level})),"""
+
+
+MIXING = rf"""
+WITH d AS (SELECT doc_id, lang, source, len(regexp_extract_all(coalesce(text, ''), '{PLAIN}')) AS n,
+ 'domain' || coalesce((try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) // 5)::VARCHAR, '-') AS l0, lang AS l1, source AS l2 FROM documents),
+t AS (SELECT * FROM d WHERE n > 0), leaf AS (SELECT l0, l1, l2, sum(n) AS tokens FROM t GROUP BY ALL),
+g0 AS (SELECT floor(0.9::DOUBLE * sum(tokens)) AS given FROM leaf),{"".join(map(_share_out, range(3)))}
+w AS (SELECT *, floor(given + 1e-6) AS whole FROM g3),
+r AS (SELECT *, whole + CASE WHEN row_number() OVER (ORDER BY whole - given, l0 NULLS FIRST, l1 NULLS FIRST, l2 NULLS FIRST) <= (SELECT floor(sum(given) + 1e-6) - sum(whole) FROM w) THEN 1 ELSE 0 END AS budget FROM w),
+e AS (SELECT t.*, epoch, least(greatest(budget - epoch * tokens, 0), tokens) AS allowed,
+ ('0x' || substr(md5('20240701|' || epoch || '|' || doc_id), 1, 15))::BIGINT AS key
+ FROM t JOIN r ON t.l0 IS NOT DISTINCT FROM r.l0 AND t.l1 IS NOT DISTINCT FROM r.l1 AND t.l2 IS NOT DISTINCT FROM r.l2
+ JOIN leaf ON t.l0 IS NOT DISTINCT FROM leaf.l0 AND t.l1 IS NOT DISTINCT FROM leaf.l1 AND t.l2 IS NOT DISTINCT FROM leaf.l2, (SELECT unnest([0, 1]) AS epoch)),
+c AS (SELECT *, allowed - coalesce(sum(n) OVER (PARTITION BY l0, l1, l2, epoch ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over FROM e)
+SELECT doc_id, lang, source, epoch::INTEGER AS epoch, n::BIGINT AS n_tokens, least(n, left_over)::BIGINT AS taken_tokens FROM c WHERE left_over > 0"""
+
+SQL = {"op2_quality_rules": QUALITY_RULES, "op4_warc": WARC, "op6_mixing": MIXING, "op8_decontamination": DECONTAMINATION, "op9_near_dup": NEAR_DUP}
