@@ -3,12 +3,15 @@
 An ARC file starts with a version block whose second line tells the version; version 1 records have the header line
 ``url ip date type length``, version 2 ``url ip date type status checksum location offset file length``. The declared
 length bounds the payload; a newline follows it. Each record becomes a WARC/1.1 record with a record id and a payload
-digest synthesised from the content, a W3C timestamp from the 14-digit date, and the target and type of the header.
+digest synthesised from the content, a W3C timestamp from the 14-digit date, and the target and type of the header. Each
+WARC file begins with a warcinfo record. ``archives_to_warc`` converts ARC files, ``pages_to_warc`` a table of pages, which
+it frames as ARC first.
 
 Records of equal payloads of at least ``least`` bytes: the one with the largest page_id is the response and the others
-are revisits that refer to it and carry no payload but its length and digest; shorter payloads are always responses.
-Null payloads are empty and null urls ``urn:none``; white space in a url is escaped. A null page_id is the least; equal
-largest ids are all responses. An empty table gives no file.
+are revisits that refer to it, by record id, target and date, and carry no payload but its length and digest; shorter
+payloads are always responses. Null payloads are empty and null urls ``urn:none``; white space in a url is escaped. A null
+page_id is the least; equal largest ids are all responses. Very long payloads pass whole; memory holds some megabytes of
+ARC data and one file's members. Other columns aren't read, whatever their names. An empty table gives no file.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import filesystem
+from .common import filesystem, released, written
 
 #: The header lines of the two ARC versions, in field order.
 ARC_FIELDS = {
@@ -33,8 +37,6 @@ ARC_FIELDS = {
     2: ("url", "ip", "date", "type", "status", "checksum", "location", "offset", "file", "length"),
 }
 DATE = "19700101000000"
-#: Digests that stand in more than this many pages are joined by broadcast: at most pages / HOT of them.
-HOT_SHARE = 1000
 _BAD_URL = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -63,23 +65,22 @@ def arc_file(records: list[dict], version: int = 1, name: str = "legacy.arc") ->
     return b"".join(out)
 
 
-def parse_arc(data: bytes) -> Iterator[dict]:
-    """The records of an ARC file of either version, after its version block. A short or torn file raises ValueError."""
-    at, version = 0, None
-    while at < len(data):
-        if data[at : at + 1] == b"\n":  # separators may repeat
-            at += 1
+def parse_arc(data) -> Iterator[dict]:
+    """The records of an ARC file of either version (bytes or a stream), one in memory at a time. A torn file, or one
+    without a version block, raises ValueError."""
+    stream, version, n = io.BytesIO(data) if isinstance(data, bytes) else data, None, 0
+    while line := stream.readline():
+        if line == b"\n":  # separators may repeat
             continue
-        end = data.find(b"\n", at)
-        fields = data[at : end if end >= 0 else len(data)].decode("utf-8", "surrogateescape").split(" ")
+        n += 1
+        fields = line.rstrip(b"\n").decode("utf-8", "surrogateescape").split(" ")
         try:
             length = int(fields[-1])
         except ValueError:
-            raise ValueError(f"no length in ARC header at byte {at}") from None
-        body = data[end + 1 : end + 1 + length]
-        if end < 0 or length < 0 or len(body) < length:
-            raise ValueError(f"ARC record at byte {at} is cut off")
-        at = end + 1 + length
+            raise ValueError(f"no length in the header of ARC record {n}") from None
+        body = stream.read(length) if length >= 0 else b""
+        if not line.endswith(b"\n") or len(body) != length:
+            raise ValueError(f"ARC record {n} is cut off")
         if version is None:
             if not fields[0].startswith("filedesc://"):
                 raise ValueError("ARC file without a version block")
@@ -110,18 +111,32 @@ def record_id(url: str, date: str, page_id: int | None, digest: str) -> str:
     return uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {date} {page_id} {digest}").urn
 
 
-def convert(record: dict, page_id: int | None, winner: int | None, revisit: bool) -> bytes:
-    """One gzip member holding the WARC record of a parsed ARC record."""
+def _member(head: list[str], body: bytes) -> bytes:
+    return gzip.compress(("\r\n".join(head) + "\r\n\r\n").encode("utf-8", "surrogateescape") + body + b"\r\n\r\n", 1, mtime=0)
+
+
+def warcinfo(name: str) -> bytes:
+    body = b"software: cachelens\r\nformat: WARC File Format 1.1\r\ndescription: converted from ARC\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <{record_id(name, DATE, None, payload_digest(body))}>", f"WARC-Date: {warc_date(DATE)}", f"WARC-Filename: {name}"]
+    return _member([*head, "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"], body)
+
+
+def convert(record: dict, page_id: int | None, winner: dict | None) -> bytes:
+    """One gzip member holding the WARC record of a parsed ARC record; ``winner`` (page_id, url, date) makes it a revisit."""
     payload, date, digest = record["payload"], warc_date(record["date"]), payload_digest(record["payload"])
-    body = b"" if revisit else payload
+    body = payload if winner is None else b""
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{record_id(record['url'], date, page_id, digest)}>",
+        "WARC/1.1", f"WARC-Type: {'response' if winner is None else 'revisit'}", f"WARC-Record-ID: <{record_id(record['url'], date, page_id, digest)}>",
         f"WARC-Date: {date}", f"WARC-Target-URI: {record['url']}", f"WARC-IP-Address: {record['ip']}", f"WARC-Payload-Digest: sha1:{digest}",
         f"Content-Type: {record['type']}", f"Content-Length: {len(body)}", f"X-Page-ID: {'-' if page_id is None else page_id}",
     ]
-    if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {winner}", f"X-Payload-Length: {len(payload)}"]
-    return gzip.compress(("\r\n".join(head) + "\r\n\r\n").encode("utf-8", "surrogateescape") + body + b"\r\n\r\n", 1, mtime=0)
+    if winner is not None:
+        url, when = _url(winner["url"]), warc_date(winner["date"])
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{record_id(url, when, winner['page_id'], digest)}>",
+            f"WARC-Refers-To-Target-URI: {url}", f"WARC-Refers-To-Date: {when}", f"X-Refers-To-Page: {'-' if winner['page_id'] is None else winner['page_id']}", f"X-Payload-Length: {len(payload)}",
+        ]
+    return _member(head, body)
 
 
 def parse_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -144,23 +159,29 @@ def parse_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def with_winners(pages: DataFrame, least: int = 0) -> DataFrame:
-    """``pages`` (page_id, url, payload) with ``winner`` and ``shared``: the largest page_id of its payload, and whether
-    other pages have the payload.
+    """``pages`` (page_id, url, ip, date, type, payload) with ``winner``: (page_id, url, date) of the largest page_id of the
+    payload, for those that revisit it, else null.
 
-    Only (digest, page_id) are grouped, and only digests of several pages are kept. Payloads stay where they were
-    read: the pages of repeated payloads are matched by id, which spreads a payload that fills a third of the table.
+    Only (digest, page_id, url, date) are grouped, and only digests of several pages are kept. Payloads stay where they
+    were read: the pages of repeated payloads are matched by id, which spreads a payload that fills a third of the table.
     """
-    slim = pages.where(F.octet_length("payload") >= least).select("page_id", F.unhex(F.sha1("payload")).alias("digest"))
-    groups = slim.groupBy("digest").agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    revisits = slim.join(groups, "digest").where(~F.col("page_id").eqNullSafe(F.col("winner")))
-    revisits = revisits.select(F.col("page_id").alias("of"), F.col("digest").alias("had"), "winner").distinct()
+    slim = pages.where(F.octet_length("payload") >= least).select("page_id", "url", "date", F.unhex(F.sha1("payload")).alias("digest"))
+    groups = slim.groupBy("digest").agg(F.max(F.struct("page_id", "url", "date")).alias("winner"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    revisits = slim.join(groups, "digest").where(~F.col("page_id").eqNullSafe(F.col("winner.page_id")))
+    revisits = revisits.groupBy(F.col("page_id").alias("of"), F.col("digest").alias("had")).agg(F.max("winner").alias("winner"))
     out = pages.withColumn("digest", F.unhex(F.sha1("payload")))
-    return out.join(revisits.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("had")), "left").select(
-        "page_id", "url", "payload", "winner", F.col("had").isNotNull().alias("revisit")
-    )
+    return out.join(revisits.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("had")), "left").drop("digest", "of", "had")
+
+
+def _to_warc(folder: str, version: int | None, file_bytes: int):
+    """Writes rows as WARC files; with a ``version`` they are framed as ARC of that version and parsed first."""
 
+    def records(rows: list[dict]) -> Iterator[dict]:
+        if version is None:
+            yield from ({"url": _url(r["url"]), "ip": r["ip"], "date": r["date"], "type": r["type"], "payload": r["payload"]} for r in rows)
+        else:
+            yield from parse_arc(arc_file(rows, version))
 
-def _to_warc(folder: str, version: int, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -171,26 +192,39 @@ def _to_warc(folder: str, version: int, file_bytes: int):
             name = f"{part:06d}-{number:04d}.warc.gz"
             draft = f"{root}/.{name}.{uuid.uuid4().hex}"
             with fs.open_output_stream(draft, compression=None) as f:
+                f.write(warcinfo(name))
                 for member in out:
                     f.write(member)
             fs.move(draft, f"{root}/{name}")
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(out)], pa.int64())], ["name", "records"])
 
         for batch in batches:
-            rows = batch.to_pylist()
-            arc = arc_file([{"url": r["url"], "payload": r["payload"]} for r in rows], version)
-            for r, record in zip(rows, parse_arc(arc), strict=True):
-                out.append(convert(record, r["page_id"], r["winner"], r["revisit"]))
-                size += len(out[-1])
-                if size >= file_bytes:
-                    yield close()
-                    number, out, size = number + 1, [], 0
+            for rows in _portions(batch):
+                for r, record in zip(rows, records(rows), strict=True):
+                    out.append(convert(record, r["page_id"], r["winner"]))
+                    size += len(out[-1])
+                    if size >= file_bytes:
+                        yield close()
+                        number, out, size = number + 1, [], 0
         if out:
             yield close()
 
     return run
 
 
+def _portions(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[list[dict]]:
+    """A batch's rows in lists of some megabytes."""
+    rows, size, names = [], 0, batch.schema.names
+    for values in zip(*(batch.column(n) for n in names)):
+        rows.append({n: v.as_py() for n, v in zip(names, values)})
+        size += len(rows[-1]["payload"])
+        if size >= most:
+            yield rows
+            rows, size = [], 0
+    if rows:
+        yield rows
+
+
 def _from_warc(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
@@ -200,30 +234,68 @@ def _from_warc(folder: str):
                     data = f.read()
                 rows = []
                 for h, body in parse_warc(gzip.GzipFile(fileobj=io.BytesIO(data))):
+                    if h["WARC-Type"] == "warcinfo":
+                        continue
                     revisit = h["WARC-Type"] == "revisit"
                     digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
                     if not revisit and payload_digest(body) != digest:
                         raise ValueError(f"{name}: payload of {h['WARC-Record-ID']} differs from its digest")
                     number = lambda x: None if x in (None, "-", "None") else int(x)
-                    rows.append((number(h["X-Page-ID"]), int(h["X-Payload-Length"]) if revisit else len(body), digest, h["WARC-Type"], number(h.get("X-Refers-To-Page")), h["WARC-Record-ID"].strip("<>"), h["WARC-Date"], h["WARC-Target-URI"]))
+                    rows.append((number(h["X-Page-ID"]), int(h["X-Payload-Length"]) if revisit else len(body), digest, h["WARC-Type"], number(h.get("X-Refers-To-Page")), h["WARC-Record-ID"].strip("<>"), h["WARC-Date"], h["WARC-Target-URI"], h.get("WARC-Refers-To", "").strip("<>") or None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _OUT)], [n for n, _ in _OUT])
 
     return run
 
 
-_OUT = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("warc_date", pa.string()), ("target_uri", pa.string())]
+_OUT = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("warc_date", pa.string()), ("target_uri", pa.string()), ("refers_to_record", pa.string())]
 
 
-def pages_to_warc(pages: DataFrame, folder: str, version: int = 1, least: int = 0, file_bytes: int = 16 << 20, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Frames each page as an ARC record, converts it, and writes ``.warc.gz`` files into ``folder``; gives their names."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
+def _write_warc(rows: DataFrame, folder: str, version: int | None, least: int, file_bytes: int) -> DataFrame:
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
-    files = with_winners(rows, least).mapInArrow(_to_warc(folder, version, file_bytes), "name string, records long")
-    return pages.sparkSession.createDataFrame(files.collect(), "name string, records long")
+    return written(with_winners(rows, least).mapInArrow(released(_to_warc(folder, version, file_bytes)), "name string, records long"), "warc-manifest")
+
+
+def pages_to_warc(pages: DataFrame, folder: str, version: int = 1, least: int = 0, file_bytes: int = 16 << 20, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """Frames each page as an ARC record, converts it, and writes ``.warc.gz`` files into ``folder``; gives their names."""
+    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
+    fixed = (F.lit(v).alias(n) for n, v in (("ip", "0.0.0.0"), ("date", DATE), ("type", "text/html")))
+    return _write_warc(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), *fixed, payload.alias("payload")), folder, version, least, file_bytes)
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("type", pa.string()), ("payload", pa.binary())])
+    for batch in batches:
+        for number, data in zip(batch.column("number").to_pylist(), batch.column("content")):
+            raw = data.as_py()
+            stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(raw))) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
+            rows, size = [], 0
+            for k, r in enumerate(parse_arc(stream)):
+                text = {n: r[n].encode("utf-8", "replace").decode() for n in ("url", "ip", "date", "type")}
+                rows.append(text | {"page_id": (number << 32) + k, "payload": r["payload"]})
+                size += len(r["payload"])
+                if size >= 4 << 20:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+
+def read_arc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of ARC files (plain or gzip, of either version): page_id (file by name, then record), url, ip, date, type,
+    payload. A task reads a file whole, record after record; Spark takes files of 2 GB at most."""
+    files = spark.read.format("binaryFile").load(path)
+    numbers = files.select("path").withColumn("number", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("path")) - 1)
+    listed = files.select("path", "content").join(F.broadcast(numbers), "path").select("number", "content")  # numbers: a row a file
+    return listed.mapInArrow(_parsed, "page_id long, url string, ip string, date string, type string, payload binary")
+
+
+def archives_to_warc(spark: SparkSession, path: str, folder: str, least: int = 0, file_bytes: int = 16 << 20) -> DataFrame:
+    """Converts ARC files to WARC files in ``folder``; gives their names."""
+    return _write_warc(read_arc(spark, path), folder, None, least, file_bytes)
 
 
 def read_warc(files: DataFrame, folder: str) -> DataFrame:
     """One row per record of the archives."""
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, warc_date string, target_uri string"
-    return files.repartition(max(1, files.count())).mapInArrow(_from_warc(folder), schema)
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, warc_date string, target_uri string, refers_to_record string"
+    return files.repartition(max(1, files.count())).mapInArrow(released(_from_warc(folder)), schema)
