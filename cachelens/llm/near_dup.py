@@ -7,7 +7,7 @@ class. Classes that agree in all registers of a band are candidates; candidates
 group. Inside a group the joint likelihood of two sketches, given the set sizes, tells whether the similarity may reach
 the threshold, and only then are the full sets compared. Links of confirmed pairs give the components.
 
-A group is worked on where all its classes lie, in blocks of BLOCK classes. Larger groups are dealt over blocks, each
+A group is worked on where all its classes lie, in blocks of BLOCK classes; long texts count as several. Larger groups are dealt over blocks, each
 with the same few centres, and what is not joined to the group's largest component by then is compared with every
 block of the group, whole. Pairs never leave a task; only links between different components do.
 
@@ -16,7 +16,8 @@ bands of 5 at 0.85 (8e-7), 35 at 0.80 (9e-7). The cut lies 0.15 under the thresh
 it with about 2e-6. Sets are never sampled and nothing is capped.
 
 Null, empty and word-less texts have empty sets and are linked with nothing. With fewer than five words the whole
-sequence is one shingle. Rows of equal id are separate documents; a null id never names a component unless no other
+sequence is one shingle. Texts are taken whole, however long. Other columns aren't read, whatever their names, and pass
+``deduplicate`` unchanged. An empty table gives an empty result. Rows of equal id are separate documents; a null id never names a component unless no other
 member has an id.
 """
 
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, remembered, written
+from .common import forget, released, remembered, written
 from .components import components
 
 WIDTH = 5
@@ -40,7 +41,8 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Base and rate of the sketch. With b near 1, registers tell as much as plain minima.
 BASE, RATE = 1.001, 20.0
-BLOCK = 2000
+#: Classes of a block, and the shingles for which a class counts as one more.
+BLOCK, LONG = 2000, 4000
 #: Ids of candidates that are broadcast at most (16 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -77,7 +79,6 @@ class _Hashes(dict):
         return h
 
 
-
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles."""
     words = text.encode().lower().split() if text else []
@@ -216,7 +217,7 @@ def _link(threshold: int, cut: float):
 def _linked(rows: DataFrame, threshold: int, cut: float) -> DataFrame:
     keys = ["grp", "block", "part"]
     rows = rows.select(*keys, "cls", "component", "query", "registers", "shingles")
-    return rows.repartition(*map(F.col, keys)).sortWithinPartitions(*keys).mapInArrow(_link(threshold, cut), "a binary, b binary")
+    return rows.repartition(*map(F.col, keys)).sortWithinPartitions(*keys).mapInArrow(released(_link(threshold, cut)), "a binary, b binary")
 
 
 def links(docs: DataFrame, classes: DataFrame, threshold: int = 85, cut: float = 0.70, block: int = BLOCK) -> DataFrame:
@@ -226,15 +227,16 @@ def links(docs: DataFrame, classes: DataFrame, threshold: int = 85, cut: float =
     centres = bands.groupBy("key").agg(F.min("cls").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     stars = bands.join(centres, "key").where("cls <> centre").select(F.col("cls").alias("a"), F.col("centre").alias("b"))
     groups = components(stars).withColumnsRenamed({"node": "cls", "component": "grp"})
-    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    weight = 1 + F.floor(F.col("n_shingles") / LONG)
+    sizes = groups.join(classes.select("cls", "n_shingles"), "cls").groupBy("grp").agg(F.sum(weight).alias("size"))
     member = written(groups.join(sizes, "grp").join(classes, "cls"), "members")
 
     wanted = member.select(F.col("first_id").alias("of"), F.lit(True).alias("hit")).distinct()
     wanted = F.broadcast(wanted) if member.count() <= BROADCAST_IDS else wanted.hint("shuffle_hash")
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "cls binary, shingles binary")
+    sets = texts.mapInArrow(released(_sets), "cls binary, shingles binary")
     rows = member.join(sets, "cls").withColumns({"blocks": F.ceil(F.col("size") / block), "component": F.col("cls"), "part": F.lit(0)})
-    rows = rows.select("grp", "cls", "component", "part", "size", "blocks", "registers", "shingles")
+    rows = rows.select("grp", "cls", "component", "part", "size", "blocks", "n_shingles", "registers", "shingles")
     own = F.pmod(F.xxhash64("cls"), F.col("blocks"))
     centre = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("cls", F.lit(3)), F.ceil(F.col("size") / 16)) == 0)
     large = member.where(F.col("size") > block).limit(1).count() > 0
@@ -247,9 +249,11 @@ def links(docs: DataFrame, classes: DataFrame, threshold: int = 85, cut: float =
         wide = rows.where("blocks > 1").join(known, "cls", "left").withColumn("component", F.coalesce("now", "cls")).drop("now")
         counts = wide.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
         main = counts.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-        wide = wide.join(F.broadcast(main), "grp").withColumn("query", F.col("component") != F.col("main"))
-        left = wide.groupBy("grp").agg(F.ceil(F.sum(F.col("query").cast("long")) / block).alias("parts")).where("parts > 0")
-        wide = wide.join(F.broadcast(left), "grp")
+        few = main.count() <= BROADCAST_IDS
+        near = F.broadcast if few else (lambda df: df.hint("shuffle_hash"))
+        wide = wide.join(near(main), "grp").withColumn("query", F.col("component") != F.col("main"))
+        left = wide.groupBy("grp").agg(F.ceil(F.sum(F.when(F.col("query"), weight).otherwise(0)) / block).alias("parts")).where("parts > 0")
+        wide = wide.join(near(left), "grp")
         every = wide.withColumn("query", F.lit(False)).withColumn("block", own).drop("part").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
         asked = wide.where("query").drop("part").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(5)), F.col("parts")).cast("int"))
         asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -263,8 +267,8 @@ def _labelled(docs: DataFrame, threshold: int) -> DataFrame:
     """doc_id, mark (a hash of the text), n_shingles, component_id of every row."""
     docs = docs.withColumn("mark", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketched = written(docs.mapInArrow(_classes(ROWS * bands_for(threshold)), f"doc_id {kind}, mark long, n_shingles long, cls binary, registers binary"), "sketches")
-    classes = written(sketched.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("registers").alias("registers")), "classes")
+    sketched = written(docs.mapInArrow(released(_classes(ROWS * bands_for(threshold))), f"doc_id {kind}, mark long, n_shingles long, cls binary, registers binary"), "sketches")
+    classes = written(sketched.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
     linked = components(links(docs, classes, threshold, cut_for(threshold))).withColumnsRenamed({"node": "cls"})
     of = classes.join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls")).select("cls", "component", "first_id", "copies")
     of = written(of, "class-components")
