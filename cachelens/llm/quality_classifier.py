@@ -5,7 +5,8 @@ and expectation-maximisation on the counts estimates how often each heuristic vo
 The resulting posteriors label a bounded sample, on which a hashed linear scorer is trained; its score decides.
 
 Null, empty and word-less texts get abstentions only, so the classes' shares decide about them; with nothing else to
-learn from they are kept. An empty table gives an empty result. Repeated rows vote again, other columns pass unread.
+learn from they are kept. An empty table gives an empty result. Repeated rows vote again, other columns pass unread. Texts
+are measured whole, however long; a text's copies get its score.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
 from .quality_rules import text_stats
 
 #: Frequent function words of English, German, French and Spanish.
@@ -38,6 +40,8 @@ LABELLERS = {
     "narrow_vocabulary": (0.60, 0.80),
 }
 BITS, SEED = 11, 0x9E3779B97F4A7C15
+#: Steps in which a share of all documents is drawn.
+DRAWN = 1 << 40
 #: Letters to "a" or "A", digits to "0"; white space and punctuation stay: a text's shape.
 SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b > 127 else 48 if 48 <= b <= 57 else b for b in range(256))
 
@@ -147,8 +151,8 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column("text").to_pylist()
         values = [measures(t) for t in texts]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(map(votes, values), pa.string()), pa.array([features(t, v).astype(np.float16).tobytes() for t, v in zip(texts, values)], pa.binary())],
-            ["votes", "x"],
+            [batch.column("place"), pa.array(map(votes, values), pa.string()), pa.array([features(t, v).astype(np.float16).tobytes() for t, v in zip(texts, values)], pa.binary())],
+            ["place", "votes", "x"],
         )
 
 
@@ -184,21 +188,24 @@ def _keep(model: dict, w: np.ndarray, b: float, text_at: str):
 
 def keep(docs: DataFrame, sample_rows: int = 4000, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, with all their columns as they are."""
-    return docs.mapInArrow(_keep(*fit(docs, sample_rows, text_col), text_col), docs.schema)
+    return docs.mapInArrow(released(_keep(*fit(docs, sample_rows, text_col), text_col)), docs.schema)
 
 
 def fit(docs: DataFrame, sample_rows: int = 4000, text_col: str = "text") -> tuple[dict, np.ndarray, float]:
     """The labellers' model and the scorer's weights.
 
-    Patterns are counted over all documents (at most 3 ** labellers rows reach the driver). The scorer is trained on
-    about ``sample_rows`` documents, drawn by a hash of the text: 4 KB each on the driver.
+    Patterns are counted over all documents (at most 3 ** labellers rows reach the driver). The scorer is trained on at
+    most ``sample_rows`` distinct texts, 4 KB each on the driver: of those that a hash of the text draws, about twice as many
+    as needed, the ones with the least hashes, so neither copies nor the order of rows matter.
     """
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    counts = {r.votes: r.n for r in texts.mapInArrow(_votes, "votes string").groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r.votes: r.n for r in texts.mapInArrow(released(_votes), "votes string").groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
     model = fit_labellers(counts)
     total = max(1, sum(counts.values()))
-    drawn = texts.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000)) < int(min(1.0, sample_rows / total) * 1_000_000))
-    sample = drawn.mapInArrow(_sample, "votes string, x binary").limit(2 * sample_rows).collect()
+    place = F.xxhash64("text", F.lit(7))
+    drawn = texts.withColumn("place", place).where(F.pmod("place", F.lit(DRAWN)) < int(min(1.0, 2 * sample_rows / total) * DRAWN))
+    made = drawn.mapInArrow(released(_sample), "place long, votes string, x binary").dropDuplicates(["place"])
+    sample = made.orderBy(F.pmod("place", F.lit(DRAWN)), "place").limit(sample_rows).collect()
     x = np.array([np.frombuffer(r.x, np.float16) for r in sample], np.float32).reshape(len(sample), 1 << BITS)
     return model, *fit_scorer(x, posterior_of(model, [r.votes for r in sample]))
 
@@ -209,4 +216,4 @@ def classify(docs: DataFrame, sample_rows: int = 4000, text_col: str = "text") -
     names = [c for c in docs.columns if c not in ADDED]
     kept = docs.select(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", cl_votes string, cl_posterior double, cl_score double, cl_kept boolean"
-    return kept.mapInArrow(_score(model, w, b, names, text_col), schema)
+    return kept.mapInArrow(released(_score(model, w, b, names, text_col)), schema)
