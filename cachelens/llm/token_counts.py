@@ -4,7 +4,9 @@ A count is stored under (tokenizer digest, content digest). A run joins the docu
 encodes only the distinct misses, and appends them to the cache, so repeated content and later runs cost a join.
 
 Content is normalised only as far as no count can change: null becomes the empty text, and the digest is taken over
-the UTF-8 bytes. Null doc_ids, repeated ids and repeated rows each keep their own result row.
+the UTF-8 bytes of the whole text, however long. Null doc_ids, repeated ids and repeated rows each keep their own result
+row; equal rows are encoded once. Runs that write to one cache at a time may store a digest twice; it is read as one. Other
+columns aren't read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import exists, remembered
+from .common import exists, released, remembered
 
 #: Entries of a worker's chunk memory before it is emptied.
 MEMORY = 1_000_000
@@ -95,10 +97,12 @@ def _encode(path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        c = counter(path)
+        c, done = counter(path), set()  # equal rows of an id lie in one task
         for batch in batches:
-            texts = batch.column("content").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(c.counts(texts), pa.int64())], ["digest", "n_tokens"])
+            new = {d: k for k, d in enumerate(batch.column("digest").to_pylist()) if d not in done}
+            done |= new.keys()
+            texts = batch.column("content").take(pa.array(new.values(), pa.int64())).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()), pa.array(c.counts(texts), pa.int64())], ["digest", "n_tokens"])
 
     return run
 
@@ -117,7 +121,8 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, limit: i
     store = f"{cache_path}/tokenizer={version}"
 
     def stored() -> DataFrame:
-        return spark.read.schema("digest binary, n_tokens long").parquet(store)
+        rows = spark.read.schema("digest binary, n_tokens long").parquet(store)
+        return rows.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
     first = slim.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     if exists(spark, store):
@@ -128,7 +133,7 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, limit: i
         (F.col("digest") == F.col("first_digest")) & F.col("doc_id").eqNullSafe(F.col("first_id")),
         "left_semi",
     )
-    new = missing.select("digest", "content").mapInArrow(_encode(tokenizer_path), "digest binary, n_tokens long")
+    new = missing.select("digest", "content").mapInArrow(released(_encode(tokenizer_path)), "digest binary, n_tokens long")
     new.dropDuplicates(["digest"]).write.mode("append").parquet(store)
     return slim.join(stored(), "digest").select(
         F.col("doc_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
