@@ -5,8 +5,10 @@ tracking the longest suffix read so far that occurs in an item; where it reaches
 a window of some item. Items shorter than a window count as one window.
 
 Null, empty and word-less texts have no words and no hits; null and word-less items are ignored; repeated items each
-keep their id. Items are taken in blocks of bounded words, one automaton at a time, so a large test set costs more
-passes in one job and never more memory.
+keep their id, and repeated documents their rows. Without items nothing is hit; an empty table stays empty. Texts are
+matched whole, however long. Own columns pass unchanged, whatever their names. Items are taken in blocks of bounded words,
+one automaton at a time: each block but the last costs a pass whose result is written, so a large test set takes longer
+and never more memory, on the driver or in a task.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remembered
+from .common import forget, released, remembered, written
 
 #: A-Z to a-z; every other ASCII character that is not a letter or digit becomes a space; UTF-8 bytes over 127 stay.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -167,8 +169,6 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-
-
 def _matcher(items: list[tuple[str, str]], window: int, text_at: str):
     key = (window, hashlib.sha256(repr(items).encode()).hexdigest())
 
@@ -192,33 +192,36 @@ def _matcher(items: list[tuple[str, str]], window: int, text_at: str):
     return run
 
 
-def _blocks(items: DataFrame, block_words: int) -> list[list[tuple[str, str]]]:
-    """The items in blocks of at most ``block_words`` words (a longer item is a block alone)."""
+def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, str]]]:
+    """The items in blocks of at most ``block_words`` words (a longer item is a block alone), one at least."""
     out, size = [], 0
     for item, text in items.toLocalIterator():
         n = len(words(text))
-        if not n:
-            continue
-        if not out or size + n > block_words:
-            out.append([])
-            size = 0
-        out[-1].append((item, text))
-        size += n
-    return out or [[]]
+        if out and size + n > block_words:
+            yield out
+            out, size = [], 0
+        if n:
+            out.append((item, text))
+            size += n
+    yield out
 
 
 def match_spans(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, then=None, schema=None) -> DataFrame:
     """``docs`` with ``__cachelens_span`` (flat list of hit word ranges, from and to) and ``__cachelens_item`` (ids of
     items with occurring windows). ``then`` works on the result's batches in the same pass as the last block and gives
-    ``schema``, so a task needs one Python worker for each block and no more."""
+    ``schema``."""
     chosen = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null").orderBy("i", "t")
     out = docs.withColumns({"__cachelens_span": F.array().cast("array<int>"), "__cachelens_item": F.array().cast("array<string>")})
-    *before, last = (_matcher(block, window, text_col) for block in _blocks(chosen, block_words))
-    for matcher in before:
-        out = out.mapInArrow(matcher, out.schema)
+    blocks, last = _blocks(chosen, block_words), None
+    for block in blocks:
+        if last is not None:
+            before, out = out, written(out.mapInArrow(released(_matcher(last, window, text_col)), out.schema), "matched")
+            forget(before)
+        last = block
+    matcher = _matcher(last, window, text_col)
     if then is None:
-        return out.mapInArrow(last, out.schema)
-    return out.mapInArrow(lambda batches: then(last(batches)), schema)
+        return out.mapInArrow(released(matcher), out.schema)
+    return out.mapInArrow(released(lambda batches: then(matcher(batches))), schema)
 
 
 def _strip(limit_words: int, limit_share: float, text_at: str):
