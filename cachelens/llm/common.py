@@ -13,7 +13,9 @@ import tempfile
 import uuid
 import zipfile
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +41,10 @@ def remembered(owner: str, make):
     return _memory[owner]
 
 
-def give_back() -> None:
+def give_back(cycles: bool = True) -> None:
     """Returns what this worker has freed to the system: Arrow's pool, and the C library's heap where it can be asked to."""
-    gc.collect()
+    if cycles:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
@@ -58,12 +61,30 @@ def released(work):
     return run
 
 
+def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of some texts, each word of all texts as a position among them, and the words of each text.
+    Null texts have no words."""
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+    words = lists.flatten().dictionary_encode()
+    code, distinct = words.indices.to_numpy(), words.dictionary.cast(pa.large_binary()).to_pylist()
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if b"" in distinct:  # before the first and behind the last word
+        real = code != distinct.index(b"")
+        ends = np.cumsum(counts)
+        counts = np.diff(np.concatenate(([0], np.cumsum(real)))[np.concatenate(([0], ends))])
+        code = code[real]
+    return distinct, code, counts
+
+
 def shared_base(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset, a local master gets one of
+    our own, and a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="cachelens-")
         spark.sparkContext.setCheckpointDir(_own_dir[app])

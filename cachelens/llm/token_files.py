@@ -29,12 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import filesystem, released, remembered, written
+from .common import filesystem, give_back, released, remembered, split_words, written
 
 MAGIC, END = b"DACT1", 1
 #: Chunks that a worker remembers: so many new ones, and as many older ones. Bytes of the longest. Marks for chunks that
@@ -230,19 +229,18 @@ class Encoder(dict):
         if not self.by_chunk:
             parts = [self._whole(t.as_py()) if t.is_valid else b"" for t in texts]
             return np.frombuffer(b"".join(parts), np.uint32), np.array([len(p) // 4 for p in parts], np.int64)
-        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-        chunks = lists.flatten().dictionary_encode()
-        ids = list(map(self.__getitem__, chunks.dictionary.cast(pa.large_binary()).to_pylist()))
+        distinct, code, counts = split_words(texts)
+        ids = list(map(self.__getitem__, distinct))
         pool = np.frombuffer(b"".join(ids), np.uint32)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        del distinct, ids
         starts = np.cumsum(lengths) - lengths
-        code = chunks.indices.to_numpy()
         size = lengths[code]
         ends = np.cumsum(size)
-        flat = pool[np.repeat(starts[code] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        n_chunks = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-        upto = np.concatenate(([0], ends))[np.concatenate(([0], n_chunks))]
-        return flat, np.diff(upto)
+        at = np.repeat(starts[code] - ends + size, size)
+        at += np.arange(len(at))
+        upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
+        return pool[at], np.diff(upto)
 
 
 def _by_chunk(tokenizer) -> bool:
@@ -304,6 +302,7 @@ def _write(folder: str, tokenizer_path: str, end_id: int, file_tokens: int):
                     yield close()
                     number += 1
                 at = upto
+            give_back(cycles=False)
         if held:
             yield close()
 
