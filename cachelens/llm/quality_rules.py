@@ -6,7 +6,8 @@ limit, ``max(min_docs, share * documents of the host)``, is boilerplate and coun
 and rejected, when fewer than ``min_words`` words or less than ``min_left`` of its words remain.
 
 Null and empty texts have no words and fail the base rules. A null host is a host of its own. Every row is a document:
-repeated rows and ids are judged each for itself, and equal rows count as several documents of their host.
+repeated rows and ids are judged each for itself, and equal rows count as several documents of their host. Texts are
+measured whole, however long. Other columns aren't read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 
 #: Symbols of the base rules, and the six characters that separate words.
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
@@ -99,7 +100,7 @@ def quality_rules(docs: DataFrame, min_docs: int = 20, share: float = 0.01, min_
     """
     measured = written(
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"))
-        .mapInArrow(_measure, f"doc_id {docs.schema[id_col].dataType.simpleString()}, host string, {STATS}, line array<long>, words array<int>")
+        .mapInArrow(released(_measure), f"doc_id {docs.schema[id_col].dataType.simpleString()}, host string, {STATS}, line array<long>, words array<int>")
         .withColumn("row", F.monotonically_increasing_id()),
         "lines",
     )

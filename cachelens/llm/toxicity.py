@@ -6,7 +6,9 @@ logistic model is fitted. In labelled sentences that name a group, the identity
 kind; the fit adds ``pairing`` times the squared change of the logit, so that naming a group does not move a score.
 
 Null, empty and short texts have no features and get the intercept's score. Rows without a label are only scored. A
-document labelled twice counts as toxic if any label says so. Without labelled rows every score is 0.
+document labelled twice counts as toxic if any label says so. Without labelled rows every score is 0. Repeated rows are
+learnt from and scored each; ties among features go by their number. Texts are read whole, however long. Other columns
+aren't read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
 from .decontam import WORDS
 
 #: Identity terms by kind; a term is swapped for the next of its kind.
@@ -146,17 +149,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold
     known = known.where(F.pmod(F.xxhash64("of", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(fold == held_fold, F.lit(False)).alias("held_out"))
     train = rows.join(F.broadcast(known), F.col("doc_id") == F.col("of")).select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    counted = train.mapInArrow(_screen, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = train.mapInArrow(released(_screen), "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     rate = known.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.0
     expected = (F.col("toxic") + F.col("clean")) * rate
     gain = (F.col("toxic") - expected) / F.sqrt(expected + 1)
     chosen = [r.feature for r in counted.where(F.col("toxic") >= 3).where(gain > 0).orderBy(gain.desc(), "feature").limit(n_features).collect()]
     slots = np.full(1 << BITS, -1, np.int32)
     slots[chosen] = np.arange(len(chosen))
-    data = train.mapInArrow(_training(slots), "toxic int, x array<int>, swapped array<int>").collect()
+    data = train.mapInArrow(released(_training(slots)), "toxic int, x array<int>, swapped array<int>").collect()
     w, b = fit(data, max(1, len(chosen)), pairing)
     used = np.flatnonzero(w[: len(chosen)])
     small = np.full(1 << BITS, -1, np.int32)
     small[np.array(chosen, int)[used]] = np.arange(len(used))
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int"
-    return rows.mapInArrow(_scores(small, np.append(w[used], 0.0), b), schema).withColumnRenamed("doc_id", id_col)
+    return rows.mapInArrow(released(_scores(small, np.append(w[used], 0.0), b)), schema).withColumnRenamed("doc_id", id_col)

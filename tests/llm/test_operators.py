@@ -87,6 +87,57 @@ def test_labellers_recover_accuracies():
     assert np.abs(model["rates"][1, :, 2] - acc).max() < 0.05
 
 
+def brute_em(patterns, rounds=100):
+    """The same model, document by document, in plain Python."""
+    n, k = len(patterns), len(quality_classifier.LABELLERS)
+    post = [min(max(sum("-0+".index(c) - 1 for c in p) / k * 0.5 + 0.5, 0.02), 0.98) for p in patterns]
+    for _ in range(rounds):
+        rate = []
+        for y in (0, 1):
+            of = [{c: 0.1 + sum((q if y else 1 - q) for p, q in zip(patterns, post) if p[j] == c) for c in "-+"} for j in range(k)]
+            rate.append([{c: v[c] / (v["-"] + v["+"]) for c in "-+"} | {"0": 1.0} for v in of])
+        share, new = (sum(post) + 1) / (n + 2), []
+        for p in patterns:
+            bad, good = (math.prod(rate[y][j][c] for j, c in enumerate(p)) * s for y, s in ((0, 1 - share), (1, share)))
+            new.append(good / (good + bad))
+        done = max(abs(a - b) for a, b in zip(new, post)) < 1e-6
+        if done:
+            break
+        post = new
+    return new
+
+
+def test_em_equals_brute_force(docs):
+    patterns = [quality_classifier.votes(quality_classifier.measures(r[1])) for r in rows()]
+    model = quality_classifier.fit_labellers(collections.Counter(patterns))
+    assert np.allclose(quality_classifier.posterior_of(model, patterns), brute_em(patterns), atol=1e-6)
+
+
+def test_scorer_equals_brute_force():
+    rng = np.random.default_rng(2)
+    x, y = rng.random((30, 6)).astype(np.float32), rng.random(30)
+    w, b = quality_classifier.fit_scorer(x, y, steps=20)
+    v, c, m, s, mc, sc = [0.0] * 6, 0.0, [0.0] * 6, [0.0] * 6, 0.0, 0.0
+    for t in range(1, 21):
+        error = [1 / (1 + math.exp(-sum(a * q for a, q in zip(r, v)) - c)) - float(g) for r, g in zip(x.tolist(), y)]
+        grad = [sum(e * r[j] for e, r in zip(error, x.tolist())) / 30 + 1e-4 * v[j] for j in range(6)]
+        gc = sum(error) / 30
+        m, s = [0.9 * a + 0.1 * g for a, g in zip(m, grad)], [0.999 * a + 0.001 * g * g for a, g in zip(s, grad)]
+        mc, sc = 0.9 * mc + 0.1 * gc, 0.999 * sc + 0.001 * gc * gc
+        step = lambda a, q: 0.1 * (a / (1 - 0.9**t)) / (math.sqrt(q / (1 - 0.999**t)) + 1e-8)  # noqa: E731, B023
+        v, c = [a - step(g, q) for a, g, q in zip(v, m, s)], c - step(mc, sc)
+    assert np.allclose(w, v, atol=1e-3) and abs(b - c) < 1e-3
+
+
+def test_quality_does_not_depend_on_order_or_copies(spark):
+    made = [(k, f"this is text number{k} of the corpus, and it has words of some kind " * (1 + k % 3) + "!" * (k % 5)) for k in range(300)]
+    made += [(1000 + k, made[7][1]) for k in range(200)]  # copies that are drawn all together, or not at all
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    one = {r.doc_id: r.cl_score for r in quality_classifier.classify(df.coalesce(1), sample_rows=100).collect()}
+    two = {r.doc_id: r.cl_score for r in quality_classifier.classify(df.repartition(13).orderBy(F.desc("doc_id")), sample_rows=100).collect()}
+    assert one.keys() == two.keys() and max(abs(one[k] - two[k]) for k in one) < 1e-9
+
+
 def test_quality_classifier(spark, docs, empty):
     long = " ".join(f"the word{i} of this and that" for i in range(30)) + "."
     bad = ["$$$ *** ### " * 60, "go " * 300, "BUY!! NOW!! CHEAP!! " * 40]
@@ -121,20 +172,44 @@ def test_token_files(spark, docs, empty):
     library = Tokenizer.from_file(path)
     texts = ["It's I'LL", "H̱ ẖ İ ΑΣ ß", "<|endoftext|>x <|startoftext|", "..!? |a| 12ab", "日本 🙂", "\x1c\x85 a\x00b", "ª º µ"]
     code = token_files.Encoder(path)
+    rng = np.random.default_rng(4)
+    letters = list("abTS'’`.,;:!?|#$%&*()/=+_-<>~0189éÉßµ×÷ªÿ \u0301日🙂") + ["<|endoftext|>", "'s", "'ll"]
+    texts += ["".join(rng.choice(letters, int(rng.integers(1, 12)))) for _ in range(20_000)]
     for t in texts:
-        assert code.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+        assert code.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids, t
     folder = shared_path(spark, "t")
     got = token_files.read_tokens(token_files.write_tokens(docs, folder, path, shard_rows=16), folder).collect()
-    ordered = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    ties = {r.row: r.tie for r in docs.select(F.struct("doc_id", "text").alias("row"), F.xxhash64("text").alias("tie")).collect()}
+    ordered = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0, ties[r[0], r[1]]))
     want, at = collections.Counter(), 0
     for r in ordered:
         ids = library.encode(r[1] or "", add_special_tokens=False).ids + [1]
         want[(r[0], at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))] += 1
         at += len(ids)
     assert pairs(got, "doc_id", "start", "n_tokens", "ids_crc32") == want
+    small = token_files.write_tokens(clashing(spark), folder + "s", path, shard_rows=16, file_tokens=300)  # files of a few documents
+    assert small.count() > 30 and pairs(token_files.read_tokens(small, folder + "s").collect(), "doc_id", "start", "n_tokens", "ids_crc32") == want
     assert token_files.read_tokens(token_files.write_tokens(empty, folder + "e", path), folder + "e").count() == 0
 
 
+def test_token_files_of_another_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    code, library = token_files.Encoder(path), Tokenizer.from_file(path)
+    for t in ["Two  Words, it's", " lead\n\n\ttail ", "É日"]:
+        assert code.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_one_id_in_thousands_of_files(spark):
+    folder, n = shared_path(spark, "t"), 1_000
+    docs = spark.range(n).select(F.lit(7).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    files = token_files.write_tokens(docs, folder, public_tokenizers.path("word_bpe_49k.json"), shard_rows=2, file_tokens=1)
+    assert files.select("part").distinct().count() > 300 and files.count() == n
+    got = sorted((r.start, r.n_tokens) for r in token_files.read_tokens(files, folder).collect())
+    assert len(got) == n and all(a + size == b for (a, size), (b, _) in zip(got, got[1:]))
+
+
 # --- 4
 
 
@@ -163,6 +238,38 @@ def test_warc(spark):
         assert pairs(got, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == want
     assert warc.read_warc(warc.pages_to_warc(pages.limit(0), folder, 1), folder).count() == 0
     assert all(r.record_type == "response" for r in warc.read_warc(warc.pages_to_warc(pages, folder + "x", 1, least=10**6), folder + "x").collect())
+    by_id = {r.page_id: r for r in got if r.record_type == "response"}
+    assert all(r.refers_to_record == by_id[r.refers_to].record_id for r in got if r.record_type == "revisit")
+
+
+def test_archives(spark, tmp_path):
+    import gzip
+
+    big = b"x" * (9 << 20)
+    records = [{"url": f"http://h/{k % 7}", "payload": big if k == 5 else b"text %d" % (k % 4), "date": f"2001020304050{k % 10}", "type": "text/plain", "ip": "1.2.3.4"} for k in range(20)]
+    (tmp_path / "a.arc").write_bytes(warc.arc_file(records[:12], 1))
+    (tmp_path / "b.arc.gz").write_bytes(gzip.compress(warc.arc_file(records[12:], 2)))
+    folder = shared_path(spark, "w")
+    got = warc.read_warc(warc.archives_to_warc(spark, f"file://{tmp_path}/*.arc*", folder), folder).collect()
+    ids = [k if k < 12 else (1 << 32) + k - 12 for k in range(20)]
+    last = {r["payload"]: i for r, i in zip(records, ids)}
+    want = {i: (len(r["payload"]), warc.payload_digest(r["payload"]), "response" if last[r["payload"]] == i else "revisit", r["url"], warc.warc_date(r["date"])) for r, i in zip(records, ids)}
+    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.target_uri, r.warc_date) for r in got} == want
+    record = {r.page_id: r.record_id for r in got}
+    assert all(r.refers_to_record == record[r.refers_to] for r in got if r.record_type == "revisit")
+
+
+def test_a_file_begins_with_warcinfo(spark):
+    import gzip
+
+    from cachelens.llm.common import filesystem
+
+    folder = shared_path(spark, "w")
+    files = warc.pages_to_warc(spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string"), folder).collect()
+    fs, root = filesystem(folder)
+    with fs.open_input_stream(f"{root}/{files[0].name}", compression=None) as f:
+        records = list(warc.parse_warc(gzip.GzipFile(fileobj=f)))
+    assert [h["WARC-Type"] for h, _ in records] == ["warcinfo", "response"] and records[1][1] == b"text"
 
 
 # --- 5
@@ -203,6 +310,38 @@ def test_toxicity_screen_is_the_same_over_any_tasks(spark):
         assert {r.feature: [r.clean, r.toxic] for r in got} == dict(want)
 
 
+def test_toxicity_does_not_depend_on_partitions(spark):
+    made = [(k, f"plain words {k} " + ("you vile fool " if k % 3 == 0 else "you kind friend ") + ("women " if k % 4 == 0 else "") + f"end{k % 11}") for k in range(300)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id long, toxic int")
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    scores = [{r.doc_id: r.score for r in toxicity.score_toxicity(df.repartition(n, "doc_id"), labels).collect()} for n in (1, 7, 211)]
+    assert all(s.keys() == scores[0].keys() and max(abs(s[k] - scores[0][k]) for k in s) < 1e-9 for s in scores)
+
+
+def test_toxicity_fit_equals_brute_force():
+    from types import SimpleNamespace as Row
+
+    rng = np.random.default_rng(6)
+    made = []
+    for k in range(40):
+        x = sorted(set(rng.integers(0, 8, 4).tolist()))
+        made.append(Row(toxic=int(rng.random() < 0.4), x=x, swapped=sorted(set(rng.integers(0, 8, 4).tolist())) if k % 3 else None))
+    w, b = toxicity.fit(made, 8, pairing=0.5, l1=1e-3, steps=30)
+    dense = lambda s: np.isin(np.arange(8), s).astype(float)
+    x, y = np.array([dense(r.x) for r in made]), np.array([r.toxic for r in made], float)
+    gap = np.array([dense(r.x) - dense(r.swapped) for r in made if r.swapped is not None])
+    v = np.append(np.zeros(8), np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+    m = s = np.zeros(9)
+    for t in range(1, 31):
+        error = 1 / (1 + np.exp(-(x @ v[:8] + v[8]))) - y
+        g = np.append(x.T @ error / len(y) + 0.5 * 2 * gap.T @ (gap @ v[:8]) / len(gap), error.mean())
+        m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
+        rate = 0.1 / (np.sqrt(s / (1 - 0.999**t)) + 1e-3)
+        v = v - rate * m / (1 - 0.9**t)
+        v[:8] = np.sign(v[:8]) * np.maximum(np.abs(v[:8]) - 1e-3 * rate[:8] * 0.1, 0)
+    assert np.allclose(w, v[:8], atol=1e-9) and abs(b - v[8]) < 1e-9
+
+
 def test_pairing_evens_out_swapped_terms():
     from types import SimpleNamespace as Row
 
@@ -226,6 +365,47 @@ def test_budgets():
     assert mixing.leaf_budgets(available, {}, 600, 1) == {("a", "x"): 100, ("a", "y"): 10, ("b", "x"): 490}
     assert mixing.leaf_budgets(available, {("b",): 0.0}, 600, 2) == {("a", "x"): 200, ("a", "y"): 20, ("b", "x"): 0}
     assert mixing.leaf_budgets(available, {}, 10**6, 3) == {k: 3 * v for k, v in available.items()}
+    assert mixing.leaf_budgets({("a", "x"): 100, ("b", "y"): 1000}, {("a", "x"): 0.0}, 500, 1) == {("a", "x"): 0, ("b", "y"): 500}
+    assert sum(mixing.leaf_budgets({(c,): 100 for c in "abcdefg"}, {}, 200, 1).values()) == 200
+    many = {(f"d{k % 50}", f"s{k}"): 1 + k % 97 for k in range(20_000)}
+    assert sum(mixing.leaf_budgets(many, {}, 500_000, 1).values()) == 500_000
+
+
+def poured(leaves, weight, budget, epochs):
+    """Budgets by pouring: the root's tokens go down the tree in small portions, by weight, to whoever can still take some."""
+    from fractions import Fraction
+
+    given = dict.fromkeys(leaves, Fraction(0))
+    room = {leaf: Fraction(n * epochs) for leaf, n in leaves.items()}
+
+    def open_(p):
+        return [leaf for leaf in leaves if leaf[: len(p)] == p and all(weight.get(leaf[:k], 1) > 0 for k in range(1, len(leaf) + 1)) and given[leaf] < room[leaf]]
+
+    def rates(p):
+        kids = sorted({leaf[: len(p) + 1] for leaf in open_(p)} - {p})
+        if not kids:
+            return {p: Fraction(1)}
+        total = sum(Fraction(weight.get(c, 1)) for c in kids)
+        return {leaf: Fraction(weight.get(c, 1)) / total * x for c in kids for leaf, x in rates(c).items()}
+
+    left = Fraction(budget)
+    while left > 0 and open_(()):
+        rate = rates(())
+        step = min([left, *((room[k] - given[k]) / x for k, x in rate.items())])
+        for k, x in rate.items():
+            given[k] += step * x
+        left -= step
+    return given
+
+
+def test_budgets_equal_pouring():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        leaves = {(f"a{i}", f"b{j}", f"c{k}"): int(rng.integers(1, 60)) for i in range(3) for j in range(2) for k in range(int(rng.integers(1, 4)))}
+        weight = {p[:n]: int(rng.integers(0, 4)) for p in leaves for n in (1, 2, 3)}
+        epochs, budget = int(rng.integers(1, 4)), int(rng.integers(0, 700))
+        got, want = mixing.leaf_budgets(leaves, weight, budget, epochs), poured(leaves, weight, budget, epochs)
+        assert all(abs(got[k] - want[k]) < 1.001 for k in leaves) and sum(got.values()) == int(sum(want.values()))
 
 
 @pytest.mark.parametrize("bucket_docs", [4096, 2])
@@ -233,6 +413,7 @@ def test_mix(docs, empty, bucket_docs):
     levels = [F.col("lang"), F.col("source")]
     got = mixing.mix(docs, levels, budget=0.8, epochs=3, bucket_docs=bucket_docs, weights=0.3).collect()
     leaf = lambda r: (r[2], r[3])
+    leaf_of = lambda r: (r.lang, r.source)
     available = collections.Counter()
     for r in rows():
         available[leaf(r)] += len(WORD.findall(r[1] or ""))
@@ -248,6 +429,20 @@ def test_mix(docs, empty, bucket_docs):
         assert 0 < r.cl_taken <= r.cl_tokens == len(WORD.findall(r.text))
     repeated = leaf(rows()[20])  # rows of one document are taken together and cut alike
     assert {k: v for k, v in taken.items() if k != repeated} == {k: v for k, v in want.items() if v and k != repeated}
+    whole, expected = {}, collections.Counter()
+    for k, budget in want.items():  # the documents of a leaf in the order of their MD5s, an epoch after the other
+        once = {(r[0], r[1]) for r in rows() if leaf(r) == k and WORD.findall(r[1] or "")}
+        n = {d: sum((r[0], r[1]) == d and leaf(r) == k for r in rows()) * len(WORD.findall(d[1])) for d in once}
+        for epoch in range(3):
+            place = lambda d: int(hashlib.md5(f"20240701|{epoch}|{'' if d[0] is None else d[0]}".encode()).hexdigest()[:15], 16)
+            for d in sorted(once, key=lambda d: (place(d), d[0] or 0, d[1])):
+                took = min(n[d], budget)
+                budget -= took
+                whole[k, epoch, d] = took
+        assert budget == 0
+    for r in got:
+        expected[leaf_of(r), r.cl_epoch, (r.doc_id, r.text)] = r.cl_taken
+    assert {x: min(t, len(WORD.findall(x[2][1]))) for x, t in whole.items() if t and x[2][0] != 20} == {x: t for x, t in expected.items() if x[2][0] != 20}
     cut = collections.Counter((r.lang, r.source, r.cl_epoch) for r in got if r.cl_taken < r.cl_tokens)
     assert max((n for k, n in cut.items() if k[:2] != repeated), default=0) <= 1
     assert got == mixing.mix(docs, levels, budget=0.8, epochs=3, bucket_docs=bucket_docs, weights=0.3).collect() or collections.Counter(got) == collections.Counter(mixing.mix(docs, levels, budget=0.8, epochs=3, bucket_docs=bucket_docs, weights=0.3).collect())
@@ -281,6 +476,28 @@ def test_token_counts(spark, docs, empty, name):
     stored = spark.read.parquet(cache)
     assert stored.count() == stored.select("digest").distinct().count() == len({r[1] or "" for r in rows()})
     assert token_counts.count_tokens(empty, cache, path).count() == 0
+    rows_ = spark.createDataFrame(stored.select("digest", "n_tokens").collect(), "digest binary, n_tokens long")
+    rows_.write.mode("append").parquet(f"{cache}/tokenizer={token_counts.tokenizer_digest(path)}")  # as two runs at a time would
+    again = token_counts.count_tokens(clashing(spark), cache, path, limit=500).collect()
+    assert pairs(again, "doc_id", "n_bytes", "n_tokens", "over_limit") == want
+
+
+def test_filled_cache_encodes_nothing(spark, docs, monkeypatch):
+    path, cache = public_tokenizers.path("piece_bpe_32k.model"), shared_path(spark, "cache")
+    first = collections.Counter(token_counts.count_tokens(docs, cache, path).collect())
+
+    def forbidden(path):
+        def run(batches):
+            for batch in batches:
+                assert not batch.num_rows
+                yield batch.select(["digest"]).append_column("n_tokens", pa.array([], pa.int64()))
+
+        return run
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_counts, "_encode", forbidden)
+    assert collections.Counter(token_counts.count_tokens(docs, cache, path).collect()) == first
 
 
 # --- 8
@@ -361,6 +578,30 @@ def test_near_duplicates(docs, empty, block, monkeypatch):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("monkey", [{"near_dup": {"BROADCAST_IDS": -1}}, {"components": {"BROADCAST_EDGES": -1}}])
+def test_near_duplicates_without_broadcasts(docs, monkey, monkeypatch):
+    from cachelens.llm import components
+
+    for module, values in monkey.items():
+        for name, value in values.items():
+            monkeypatch.setattr({"near_dup": near_dup, "components": components}[module], name, value)
+    monkeypatch.setattr(near_dup.links, "__defaults__", (85, 0.70, 4))
+    want = brute_components([(r[0], r[1]) for r in rows()])
+    assert pairs(near_dup.near_duplicates(docs).collect(), "doc_id", "n_shingles", "component_id", "kept") == want
+    assert {r.doc_id for r in near_dup.deduplicate(docs).collect()} == {x[0] for x in want if x[3]}
+
+
+@pytest.mark.parametrize("threshold, edits", [(85, 3), (80, 4)])
+def test_recall_near_the_threshold(spark, threshold, edits):
+    made = []
+    for k in range(400):  # pairs of similarity 0.858 (three edits) and 0.815 (four)
+        base = [f"p{k}w{j}" for j in range(200)]
+        made += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(f"x{j}" if j % 40 == 20 and j // 40 < edits else w for j, w in enumerate(base)))]
+    got = near_dup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), threshold=threshold).collect()
+    found = sum(r.component_id == r.doc_id - 1 for r in got if r.doc_id % 2)
+    assert found == 400 and all(r.kept for r in got if r.doc_id % 2 == 0)
+
+
 def test_deduplicate(docs, empty):
     left = near_dup.deduplicate(docs)
     assert left.columns == docs.columns
@@ -542,6 +783,22 @@ def test_katz_without_training(docs):
 # --- all
 
 
+def test_words_are_split_as_bytes_are():
+    import pyarrow as pa
+
+    from cachelens.llm.common import split_words
+
+    rng = np.random.default_rng(9)
+    letters = list("aBé日 \t\n\x0b\x0c\r\x1c\x85\xa0")
+    texts = [None, "", " ", *("".join(rng.choice(letters, int(rng.integers(0, 25)))) for _ in range(3000)), *(r[1] for r in rows())]
+    whole = pa.array(texts, pa.string())
+    for a, b in [(0, len(texts)), (0, 3), (1, 2), *(sorted(rng.integers(0, len(texts), 2).tolist()) for _ in range(200))]:
+        distinct, code, counts = split_words(whole[a:b])
+        ends = np.cumsum(counts)
+        got = [[distinct[k] for k in code[e - n : e]] for e, n in zip(ends, counts)]
+        assert got == [(t or "").encode().split() for t in texts[a:b]]
+
+
 def test_own_columns_stay(spark, docs):
     own = clashing(spark)
     assert quality_classifier.keep(own).columns == own.columns
@@ -556,3 +813,6 @@ def test_own_columns_stay(spark, docs):
     assert quality_rules.quality_rules(own).count() == near_dup.near_duplicates(own).count() == len(rows())
     path = public_tokenizers.path("piece_bpe_32k.model")
     assert token_counts.count_tokens(own, shared_path(spark, "c"), path).count() == len(rows())
+    assert decontam.contamination(own, item).count() == len(rows())
+    corpus = katz.Corpus(own, F.lit(True))
+    assert katz.score(corpus, katz.train(corpus, 3)).count() == len(rows())
