@@ -40,6 +40,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import xxhash
 import zstandard
@@ -47,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import filesystem, forget, give_back, shared_path, written
+from .common import filesystem, forget, give_back, shared_path, split_words, written
 
 #: Counts up to K are discounted. UTF-8 bytes of text in a block; tokens of a partition, about.
 K, BLOCK_BYTES, PARTITION_TOKENS = 5, 16 << 20, 1_000_000
@@ -135,6 +136,21 @@ def _by(part: np.ndarray) -> np.ndarray:
     return np.argsort(part.astype(np.uint16) if part.max(initial=0) < 1 << 16 else part, kind="stable")
 
 
+def _numbered(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of ``code`` (not negative) in order, and each value's number among them."""
+    bits = max(1, len(code) - 1).bit_length()
+    if not len(code) or int(code.max()) >> (63 - bits):
+        distinct, number = np.unique(code, return_inverse=True)
+        return distinct, number.astype(np.int32)
+    key = (code << bits) | np.arange(len(code))  # sorted as plain numbers, which is far quicker than by an index
+    key.sort()
+    at, key = key & ((1 << bits) - 1), key >> bits
+    first = np.concatenate(([True], key[1:] != key[:-1]))
+    number = np.empty(len(code), np.int32)
+    number[at] = np.cumsum(first, dtype=np.int32) - 1
+    return key[first], number
+
+
 # --- blocks
 
 
@@ -170,14 +186,21 @@ def _blocks(folder: str, block_bytes: int):
 
         fresh()
         for batch in batches:
-            for i, text, train in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("train").to_pylist()):
-                known, text = state["known"], text.as_py()
-                words = text.encode().lower().split() if text else []
-                state["words"].append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words)))
-                state["ids"].append(i)
-                state["train"].append(train)
-                state["sizes"].append(len(words))
-                state["size"] += len(text or "")
+            ids, train, texts = batch.column("doc_id").to_pylist(), batch.column("train").to_pylist(), batch.column("text")
+            length = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(ids):
+                before = int(length[at - 1]) if at else 0
+                upto = min(int(np.searchsorted(length, before + block_bytes - state["size"])) + 1, len(ids))  # the text that fills it is its last
+                known = state["known"]
+                distinct, code, counts = split_words(texts[at:upto])
+                local = np.fromiter((known.setdefault(w.lower(), len(known)) if w else 0 for w in distinct), np.uint32, len(distinct))
+                state["words"].append(local[code])
+                state["ids"] += ids[at:upto]
+                state["train"] += train[at:upto]
+                state["sizes"] += counts.tolist()
+                state["size"] += int(length[upto - 1]) - before
+                at = upto
                 if state["size"] >= block_bytes:
                     yield close()
         if state["ids"]:
@@ -363,7 +386,7 @@ class Block:
         del before
         code *= width
         code += self.word[held]
-        distinct, number = np.unique(code, return_inverse=True)
+        distinct, number = _numbered(code)
         del code
         history, word = np.divmod(distinct, width)
         lower = np.empty(len(distinct), np.int32)
@@ -610,7 +633,7 @@ def _sum_grams(corpus: Corpus, model: Model, n: int):
         packed = [(k, np.cumsum(_long(*a[:2])), _long(*a[2:4]), a[4], _long(*a[5:7]), _long(*a[7:9]), _long(*a[9:11]), _long(*a[11:13]), np.cumsum(_long(*a[13:15]))) for k, a in rows]
         del rows
         if packed:
-            keys, of = np.unique(np.concatenate([x for a in packed for x in (a[1], a[8])]), return_inverse=True)
+            keys, of = _numbered(np.concatenate([x for a in packed for x in (a[1], a[8])]))
             ends = np.cumsum([len(x) for a in packed for x in (a[1], a[8])])[:-1]
             named = np.split(of, ends)
             runs, bare = named[::2], named[1::2]
@@ -620,8 +643,9 @@ def _sum_grams(corpus: Corpus, model: Model, n: int):
             width = int(word.max(initial=0)) + 1
             if len(keys) * width >= 1 << 63:
                 raise OverflowError("more words than a partition can number")
-            grams, at, blocks = np.unique(history * width + word, return_inverse=True, return_counts=True)
-            count = np.bincount(at, times, len(grams)).astype(np.int64)
+            history = history.astype(np.int64)
+            grams, at = _numbered(history * width + word)
+            blocks, count = np.bincount(at), np.bincount(at, times, len(grams)).astype(np.int64)
             seen = count > 0
             row = np.cumsum(seen) - 1
             of_gram, word_of = np.divmod(grams[seen], width)
