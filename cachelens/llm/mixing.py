@@ -91,7 +91,7 @@ def _aside(docs: DataFrame) -> dict[str, str]:
     return {c: f"_own_{c}" for c in docs.columns if c.lower() in RESERVED or c.lower().startswith("cl_level")}
 
 
-def mix(docs: DataFrame, levels: list[Column], weights: dict[tuple, float] | float = 0.7, budget: int | float = 0.9, epochs: int = 2, seed: int = 20_240_701, id_col: str = "doc_id", text_col: str = "text", bucket_docs: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, levels: list[Column], weights: dict[tuple, float] | float = 0.7, budget: int | float = 0.9, epochs: int = 2, seed: int = 20_240_701, id_col: str = "doc_id", text_col: str = "text", bucket_docs: int = 1024) -> DataFrame:
     """``docs`` once per epoch in which it is taken, with cl_epoch (from 0), cl_tokens (of the text) and cl_taken.
 
     Own columns of the names in RESERVED are put aside as ``_own_`` and their name. ``budget``: tokens, or a share (float)
